@@ -18,7 +18,7 @@ IDENTIFIER_LIKE = r"[A-Za-z_][A-Za-z0-9_]*(?:[._][A-Za-z0-9_]+)+|[a-z]+[A-Z]\w*"
 TEST_PREFIXES = ("test_", "Test", "test")
 TEST_SUFFIXES = ("_test", "Test", "Tests", "Spec")
 # Line terminators as str.splitlines understands them.
-LINE_BREAK = "\r\n|[\n\r\u000b\u000c\u001c\u001d\u001e\u0085  ]"
+LINE_BREAK = r"\r\n|[\n\r\x0B\x0C\x1C\x1D\x1E\x85\u2028\u2029]"
 
 
 def estimate_tokens(text: Column) -> Column:
