@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from itertools import groupby
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -41,10 +42,8 @@ def extension(path: Column) -> Column:
 
 
 def _lookup(table: dict[str, str], key: Column) -> Column:
-    out = None
-    for name, value in table.items():
-        out = F.when(key == name, F.lit(value)) if out is None else out.when(key == name, F.lit(value))
-    return out.otherwise(F.lit(None).cast("string"))
+    entries = [F.lit(part) for pair in table.items() for part in pair]
+    return F.try_element_at(F.create_map(*entries), key)
 
 
 def code_language(path: Column) -> Column:
@@ -94,10 +93,13 @@ def glob_regex(pattern: str) -> str | None:
 
 
 def ignored_by(path: Column, patterns: list[str] | tuple[str, ...]) -> Column:
-    """Ignore-file verdict; the last matching pattern decides, `!` re-includes."""
-    rules = [(glob_regex(p), p.lstrip().startswith("!")) for p in patterns]
+    """Ignore-file verdict; the last matching pattern decides, `!` re-includes.
+
+    Neighbouring patterns of one sign cannot contradict each other, so each such run is one regular expression.
+    """
+    rules = [(glob_regex(p), not p.lstrip().startswith("!")) for p in patterns]
     verdict = None
-    for regex, negated in reversed([r for r in rules if r[0]]):
-        hit = path.rlike(regex)
-        verdict = F.when(hit, F.lit(not negated)) if verdict is None else verdict.when(hit, F.lit(not negated))
+    for ignored, run in groupby(reversed([r for r in rules if r[0]]), key=lambda r: r[1]):
+        hit = path.rlike("|".join(regex for regex, _ in run))
+        verdict = F.when(hit, F.lit(ignored)) if verdict is None else verdict.when(hit, F.lit(ignored))
     return F.lit(False) if verdict is None else verdict.otherwise(F.lit(False))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from quarry.functions import paths as P
 from quarry.plans.extract import utf8_text
@@ -17,16 +20,76 @@ def relative_to(root: str, path: Column) -> Column:
     return F.substring(bare, len(prefix) + 1, 1 << 20)
 
 
+class _Folder(InputPartition):
+    def __init__(self, path: str, deep: bool):
+        self.path, self.deep = path, deep
+
+
+class _TreeReader(DataSourceReader):
+    """Lists folders only until there are enough of them to share out; tasks walk and read the rest."""
+
+    def __init__(self, options):
+        self.root = options["path"]
+        self.target = int(options.get("partitions", "64"))
+        self.limit = int(options.get("maxBytes", str(P.MAX_FILE_BYTES)))
+
+    @staticmethod
+    def _folders(path: str) -> list[str]:
+        with os.scandir(path) as entries:
+            return sorted(e.path for e in entries if e.is_dir(follow_symlinks=False) and e.name not in P.IGNORED_DIRS)
+
+    def partitions(self):
+        shallow, open_folders = [], [self.root]
+        while open_folders and len(open_folders) < self.target:
+            below = [child for folder in open_folders for child in self._folders(folder)]
+            shallow += open_folders
+            open_folders = below
+        return [_Folder(f, False) for f in shallow] + [_Folder(f, True) for f in open_folders] or [_Folder(self.root, False)]
+
+    def read(self, partition):
+        for folder, children, names in os.walk(partition.path):
+            children[:] = sorted(c for c in children if c not in P.IGNORED_DIRS) if partition.deep else []
+            for name in sorted(names):
+                full = os.path.join(folder, name)
+                try:
+                    size = os.stat(full).st_size
+                    if 0 < size <= self.limit:
+                        with open(full, "rb") as handle:
+                            yield os.path.relpath(full, self.root), size, handle.read()
+                except OSError:
+                    continue
+
+
+class SourceTree(DataSource):
+    """Files of a folder every executor can see, dotted and underscored names included."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "source_tree"
+
+    def schema(self) -> str:
+        return "path string, length long, content binary"
+
+    def reader(self, schema):
+        return _TreeReader(self.options)
+
+
+def read_files(spark: SparkSession, root: str) -> DataFrame:
+    """path (relative), length, content. URIs go through Spark's own reader, which skips hidden names."""
+    if ":" not in root:
+        spark.dataSource.register(SourceTree)
+        return spark.read.format("source_tree").option("path", root).load()
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).where(
+        F.col("length") <= P.MAX_FILE_BYTES)
+    return files.select(relative_to(root, F.col("path")).alias("path"), "length", "content")
+
+
 def ignore_patterns(spark: SparkSession, root: str) -> list[str]:
-    """Lines of the root ignore file; nested ones do not count. Bounded by the size cap on files."""
-    try:
-        rows = spark.read.format("binaryFile").load(f"{root.rstrip('/')}/.gitignore").where(
-            F.col("length") <= P.MAX_FILE_BYTES).select(utf8_text(F.col("content")).alias("t")).collect()
-    except Exception as error:  # noqa: BLE001 - an absent file is the usual case
-        if "PATH_NOT_FOUND" not in str(error) and "does not exist" not in str(error):
-            raise
+    """Lines of the root ignore file; nested ones do not count."""
+    if ":" in root or not os.path.isfile(os.path.join(root, ".gitignore")):
         return []
-    return rows[0]["t"].splitlines() if rows else []
+    with open(os.path.join(root, ".gitignore"), encoding="utf-8", errors="replace") as handle:
+        return handle.read().splitlines()
 
 
 def keep_indexable(files: DataFrame, patterns: list[str] = (), only: str | None = None) -> DataFrame:
@@ -43,14 +106,8 @@ def keep_indexable(files: DataFrame, patterns: list[str] = (), only: str | None
 
 
 def scan_tree(spark: SparkSession, root: str, repo: str, only: str | None = None) -> DataFrame:
-    """Indexable files of a tree: repo, path, lang, is_data, is_test, sha256, size, text.
-
-    Size limits are pushed into the reader, so oversized files are listed but never read.
-    """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).where(
-        F.col("length") <= P.MAX_FILE_BYTES)
-    named = files.select(relative_to(root, F.col("path")).alias("path"), "length", "content")
-    kept = keep_indexable(named, ignore_patterns(spark, root), only)
+    """Indexable files of a tree: repo, path, lang, is_data, is_test, sha256, size, text."""
+    kept = keep_indexable(read_files(spark, root), ignore_patterns(spark, root), only)
     return kept.select(
         F.lit(repo).alias("repo"), "path", "lang", "is_data", "is_test", F.sha2("content", 256).alias("sha256"),
         F.col("length").alias("size"), utf8_text(F.col("content")).alias("text"))
