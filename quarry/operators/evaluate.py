@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,17 +29,20 @@ def median(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.percentile(value, 0.5).alias("median"))
 
 
-def grep_baseline(files: DataFrame, pattern: str, read_files: int) -> int:
+def grep_cost(files: DataFrame, pattern: str, read_files: int) -> DataFrame:
     """Tokens of a plain search plus reading the first matching files: what the tools are measured against.
 
     `files`: path, text. Output lines are priced as `path:line:text`, joined by newlines.
     """
-    if not pattern:
-        return 0
     lines = files.select("path", F.posexplode(T.split_lines(F.col("text"))).alias("p", "line")).where(F.col("line").rlike(pattern))
-    row = lines.agg(
-        F.sum(F.length("path") + F.length((F.col("p") + 1).cast("string")) + F.length("line") + 3).alias("chars")).first()
-    shown = lines.where(F.trim("line") != "").select("path").distinct().orderBy("path").limit(read_files)
-    opened = files.join(shown, "path", "left_semi").agg(F.sum(T.estimate_tokens(F.col("text"))).alias("t")).first()
-    found = math.ceil(max((row["chars"] or 0) - 1, 0) / T.CHARS_PER_TOKEN * T.SAFETY_MARGIN)
-    return found + (opened["t"] or 0)
+    printed = lines.agg(F.sum(
+        F.length("path") + F.length((F.col("p") + 1).cast("string")) + F.length("line") + 3).alias("chars"))
+    shown = lines.select("path").distinct().orderBy("path").limit(read_files)
+    opened = files.join(shown, "path", "left_semi").agg(F.sum(T.estimate_tokens(F.col("text"))).alias("t"))
+    chars = F.greatest(F.coalesce("chars", F.lit(0)) - 1, F.lit(0))
+    found = F.ceil(chars / F.lit(T.CHARS_PER_TOKEN) * F.lit(T.SAFETY_MARGIN))
+    return printed.select((found + F.coalesce(opened.scalar(), F.lit(0))).cast("long").alias("tokens"))
+
+
+def grep_baseline(files: DataFrame, pattern: str, read_files: int) -> int:
+    return grep_cost(files, pattern, read_files).first()["tokens"] if pattern else 0

@@ -88,6 +88,10 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"[a-z_][a-z0-9_]*"), F.lit(0))
 
 
+def _occurrences(array: str, word: str) -> Column:
+    return F.size(F.filter(array, lambda w: w == word)).cast("double")
+
+
 def _idf(n: Column, df: Column) -> Column:
     return F.ln(F.lit(1.0) + (n - df + 0.5) / (df + 0.5))
 
@@ -108,7 +112,7 @@ def bm25_scan(df: DataFrame, key: str, text: str, terms: list[str]) -> DataFrame
     tokens = df.select(key, words(F.col(text)).alias("w"))
     counted = tokens.select(
         key, F.size("w").cast("double").alias("dl"),
-        *[F.size(F.filter("w", lambda w, t=t: w == t)).cast("double").alias(f"tf{i}") for i, t in enumerate(wanted)])
+        *[_occurrences("w", t).alias(f"tf{i}") for i, t in enumerate(wanted)])
     stats = counted.agg(F.struct(
         F.count(F.lit(1)).cast("double").alias("n"), F.avg("dl").alias("avgdl"),
         *[F.count_if(F.col(f"tf{i}") > 0).cast("double").alias(f"df{i}") for i in range(len(wanted))]).alias("s")).scalar()

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import os
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SQL_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -41,3 +42,10 @@ def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(configured)
     return configured
+
+
+def staged(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """Write an intermediate result to the shared folder and read it back: several readers, one computation."""
+    folder = f"{checkpoint_dir(spark)}/quarry-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
