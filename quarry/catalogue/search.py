@@ -11,6 +11,7 @@ from quarry.operators import evaluate as E
 from quarry.operators import ranking as R
 from quarry.operators.windows import budget_prefix
 from quarry.plans.pack import priced
+from quarry.session import staged
 
 TERMS = ["avec", "nicht", "thereou", "with"]
 TERMS_SQL = "('avec'), ('nicht'), ('thereou'), ('with')"
@@ -51,7 +52,7 @@ def knn_cosine_topk(spark, folder):
 SELECT doc_id, round(score, 5) AS score FROM bm ORDER BY bm.score DESC, doc_id LIMIT 20""")
 def bm25_topk(spark, folder):
     """R2: best documents for a few words."""
-    scored = R.bm25_scan(table(spark, folder, "documents"), "doc_id", "text", TERMS)
+    scored = R.bm25_scan(table(spark, folder, "documents"), "doc_id", "text", TERMS, lambda df: staged(spark, df))
     return R.ranked(scored, [F.desc("score"), F.col("doc_id")], R.SEED_POOL).select("doc_id", F.round("score", 5).alias("score"))
 
 
@@ -76,7 +77,7 @@ FROM fu ORDER BY score DESC, seen LIMIT 8""")
 def hybrid_search(spark, folder):
     """Both arms over whole tables, fused, normalised, best eight."""
     vector = _knn(spark, folder, R.SEED_POOL).select(F.col("vec_id").alias("id"), "rank")
-    scored = R.bm25_scan(table(spark, folder, "documents"), "doc_id", "text", TERMS)
+    scored = R.bm25_scan(table(spark, folder, "documents"), "doc_id", "text", TERMS, lambda df: staged(spark, df))
     words = R.ranked(scored, [F.desc("score"), F.col("doc_id")], R.SEED_POOL).select(F.col("doc_id").alias("id"), "rank")
     fused = R.fuse([(vector, 1.0), (words, 0.25)], "id")
     top = R.ranked(fused, [F.desc("score"), F.col("seen")], 8)

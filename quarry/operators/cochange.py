@@ -40,9 +40,11 @@ def mine_history(commits: DataFrame, tracked: DataFrame, as_of: Column) -> DataF
     """Co-changed files. `commits`: repo, sha, ts, tz_offset_minutes, files; `tracked`: repo, path."""
     dated = F.col("ts").isNotNull()
     age = (F.unix_micros(as_of.cast("timestamp")) - F.unix_micros("ts")) / F.lit(86_400_000_000.0)
-    local = F.timestamp_micros(F.unix_micros("ts") + F.coalesce("tz_offset_minutes", F.lit(0)).cast("long") * 60_000_000)
+    # The committer's own calendar day, whatever the session's time zone.
+    local = F.unix_micros("ts") + F.coalesce("tz_offset_minutes", F.lit(0)).cast("long") * 60_000_000
+    day = F.date_from_unix_date(F.floor(local / 86_400_000_000).cast("int"))
     touched = commits.select(
         "repo", "sha", decay(age, dated).alias("weight"),
-        F.coalesce(F.date_format(local, "yyyy-MM-dd"), F.lit("")).alias("stamp"), F.explode("files").alias("path"),
+        F.coalesce(day.cast("string"), F.lit("")).alias("stamp"), F.explode("files").alias("path"),
     ).join(tracked.select("repo", "path").distinct(), ["repo", "path"], "left_semi")
     return co_change(touched, ["repo"], "sha", "path")

@@ -100,11 +100,12 @@ def _saturated(tf: Column, length: Column, average: Column) -> Column:
     return tf / (tf + F.lit(BM25_K1) * (F.lit(1 - BM25_B) + F.lit(BM25_B) * length / average))
 
 
-def bm25_scan(df: DataFrame, key: str, text: str, terms: list[str]) -> DataFrame:
+def bm25_scan(df: DataFrame, key: str, text: str, terms: list[str], stage=lambda df: df) -> DataFrame:
     """BM25 of a few terms straight off the text: (key, score) of matching rows.
 
     Term counts are taken inside the row, so nothing is exploded or shuffled; corpus statistics are one row,
-    read back as a scalar subquery.
+    read back as a scalar subquery. `stage` can store the counts, a few numbers per row, so that statistics and
+    scores read the texts once between them.
     """
     wanted = sorted({t.lower() for t in terms})
     if not wanted:
@@ -113,6 +114,7 @@ def bm25_scan(df: DataFrame, key: str, text: str, terms: list[str]) -> DataFrame
     counted = tokens.select(
         key, F.size("w").cast("double").alias("dl"),
         *[_occurrences("w", t).alias(f"tf{i}") for i, t in enumerate(wanted)])
+    counted = stage(counted)
     stats = counted.agg(F.struct(
         F.count(F.lit(1)).cast("double").alias("n"), F.avg("dl").alias("avgdl"),
         *[F.count_if(F.col(f"tf{i}") > 0).cast("double").alias(f"df{i}") for i in range(len(wanted))]).alias("s")).scalar()
