@@ -193,10 +193,10 @@ def graph_pass(pool: DataFrame, pairs: DataFrame, name: str, order: list[Column]
 
 
 def expand(pool: DataFrame, calls: DataFrame, name: str, order: list[Column], seeds: int = EXPAND_SEEDS,
-           limit: int = EXPAND_LIMIT) -> DataFrame:
+           limit: int = EXPAND_LIMIT, allowed: DataFrame | None = None) -> DataFrame:
     """Neighbours of the strongest candidates: (name, seed, score), at most `limit`, none already in the pool.
 
-    `calls` are directed (src, dst) pairs, followed both ways.
+    `calls` are directed (src, dst) pairs, followed both ways; `allowed` restricts what may be added.
     """
     top = pool.orderBy(*order).limit(seeds).where(F.col(name).isNotNull()).groupBy(F.col(name).alias("seed")).agg(
         F.min("score").alias("seed_score"))
@@ -205,6 +205,8 @@ def expand(pool: DataFrame, calls: DataFrame, name: str, order: list[Column], se
                                           F.struct(F.col("dst").alias("seed"), F.col("src").alias(name)))).alias("e")).select("e.*")
     reached = both.join(top, "seed").join(known, name, "left_anti").groupBy(name).agg(
         F.max(F.struct(F.col("seed_score").alias("score"), F.col("seed").alias("seed"))).alias("b"))
+    if allowed is not None:
+        reached = reached.join(allowed, name, "left_semi")
     scored = reached.select(name, F.col("b.seed").alias("seed"), (F.col("b.score") * HOP_DECAY).alias("score"))
     return scored.orderBy(F.desc("score"), name).limit(limit)
 
