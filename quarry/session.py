@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import shutil
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,18 +36,38 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, memory: str = "
     return spark
 
 
-def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
-    """Shared folder for cut lineage: the cluster's own setting when it has one."""
+def checkpoint_dir(spark: SparkSession) -> str:
+    """Shared folder for cut lineage: the cluster's own setting. Only a local master, where driver and executors are one
+    process, may do without it; it then gets a temporary folder that goes with the process."""
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured is None:
-        configured = fallback or os.path.join("/tmp", f"quarry-checkpoint-{os.getpid()}")
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        configured = tempfile.mkdtemp(prefix="quarry-checkpoint-")
+        atexit.register(shutil.rmtree, configured, ignore_errors=True)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(configured)
     return configured
 
 
+def staging_path(spark: SparkSession, kind: str = "stage") -> str:
+    """A folder of its own under the shared folder."""
+    return f"{checkpoint_dir(spark)}/quarry-{kind}-{uuid.uuid4().hex}"
+
+
 def staged(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """Write an intermediate result to the shared folder and read it back: several readers, one computation."""
-    folder = f"{checkpoint_dir(spark)}/quarry-{uuid.uuid4().hex}"
+    """Write an intermediate result to the shared folder and read it back: several readers, one computation, and a lost
+    executor costs no recomputation of what went before."""
+    folder = staging_path(spark)
     df.write.parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)
+
+
+def discard(spark: SparkSession, *frames: DataFrame) -> None:
+    """Remove the files of staged results that nothing reads any more."""
+    jvm, root = spark.sparkContext._jvm, checkpoint_dir(spark).removeprefix("file://")
+    for df in frames:
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            if root in folder and "/quarry-" in folder:
+                path = jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
