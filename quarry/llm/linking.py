@@ -1,9 +1,9 @@
 """Groups of near-equal items without all pairs of a group: candidates by shared keys, verified links, union-find.
 
-`groups` takes postings (key, node, size, need): two nodes are candidates when they share at least the smaller of their `need`
-keys. First every node of a key is verified against the key's smallest node only, which is linear in the postings. What that links
-is merged by union-find; afterwards only pairs of nodes that share keys and still stand in different groups matter, and all of
-those are verified. So no link between different groups is lost, while a large group of near copies costs a star, not its square.
+`groups` takes postings (key, node): two nodes are candidates when they share a key, or as many keys as both ask for. First
+every node of a key is verified against the key's smallest node only, which is linear in the postings. What that links is merged
+by union-find; afterwards only pairs of nodes that share keys and still stand in different groups matter, and all of those are
+verified. So no link between different groups is lost, while a large group of near copies costs a star, not its square.
 """
 
 from __future__ import annotations
@@ -76,15 +76,15 @@ def in_bloom(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
     return (bits[places >> 3] >> (places & 7).astype(np.uint8)) & 1 > 0
 
 
-def jaccard_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (a, b), those with 100 * intersection >= percent * union. sets: (node, items), items sorted 64-bit values as bytes."""
+def jaccard_links(pairs: DataFrame, items: DataFrame, percent: int, decode: Callable[[pa.Buffer], np.ndarray]) -> DataFrame:
+    """Of pairs (a, b), those with 100 * intersection >= percent * union. items: (node, item), which `decode` makes a sorted set."""
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = np.zeros(batch.num_rows, bool)
             left, right = batch.column(2), batch.column(3)
             for i in range(batch.num_rows):
-                x, y = np.frombuffer(left[i].as_buffer(), np.uint64), np.frombuffer(right[i].as_buffer(), np.uint64)
+                x, y = decode(left[i].as_buffer()), decode(right[i].as_buffer())
                 if len(x) > len(y):
                     x, y = y, x
                 if 100 * len(x) < percent * len(y):
@@ -93,44 +93,45 @@ def jaccard_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep[i] = 100 * common >= percent * (len(x) + len(y) - common)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], names=["a", "b"])
 
-    one = pairs.join(sets.select(F.col("node").alias("b"), F.col("items").alias("of_b")), "b")
-    two = one.join(sets.select(F.col("node").alias("a"), F.col("items").alias("of_a")), "a")
+    one = pairs.join(items.select(F.col("node").alias("b"), F.col("item").alias("of_b")), "b")
+    two = one.join(items.select(F.col("node").alias("a"), F.col("item").alias("of_a")), "a")
     return two.select("a", "b", "of_a", "of_b").mapInArrow(judge, "a long, b long").distinct()
 
 
-def groups(spark: SparkSession, postings: DataFrame, percent: int, sets_of: Callable[[np.ndarray], DataFrame]) -> DataFrame:
+def groups(spark: SparkSession, postings: DataFrame, percent: int, items_of: Callable[[np.ndarray], DataFrame],
+           decode: Callable[[pa.Buffer], np.ndarray], traits: DataFrame | None = None) -> DataFrame:
     """(node, component) of the nodes that are linked with any other.
 
-    postings: key, node, size, need; sets_of(bloom bitmap) gives (node, items) for the nodes in the bitmap, at least.
+    postings: distinct (key, node); items_of(bitmap) gives (node, item) for the nodes in the bitmap, at least. traits: (node, size,
+    need); without it one shared key makes a candidate, and sizes are not compared beforehand.
     """
-    shared = staged(spark, postings.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("node", "size", "need")).alias("hub")).where("n > 1").select("key", "hub"))
-    live = staged(spark, postings.join(shared, "key").where("hub.node != node or hub.size != size"
-                                                             ).unionByName(shared.select("key", "hub.node", "hub.size", "hub.need", "hub")).distinct())
-    near = f"100 * least(size, other.size) >= {percent} * greatest(size, other.size)"
-    star = (live.where("node > hub.node").withColumnRenamed("hub", "other").where(near)
-            .groupBy(F.col("other.node").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("n"), F.min(F.least("need", "other.need")).alias("need"))
-            .where("n >= need").select("a", "b"))
-    star = staged(spark, star)
-    links = staged(spark, _verified(spark, star, sets_of, percent))
+
+    def candidates(shared: DataFrame) -> DataFrame:
+        pairs = shared.groupBy("a", "b").agg(F.count("*").alias("n"))
+        if traits is None:
+            return pairs.select("a", "b")
+        for side in ("a", "b"):
+            pairs = pairs.join(traits.select(F.col("node").alias(side), F.struct("size", "need").alias(f"of_{side}")), side)
+        fits = (F.col("n") >= F.least("of_a.need", "of_b.need")) & (100 * F.least("of_a.size", "of_b.size") >= percent * F.greatest("of_a.size", "of_b.size"))
+        return pairs.where(fits).select("a", "b").distinct()
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("node"))
+        return staged(spark, jaccard_links(pairs, staged(spark, items_of(bloom(spark, ids))), percent, decode))
+
+    shared = staged(spark, postings.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("high")).where("hub < high").select("key", "hub"))
+    live = staged(spark, postings.join(shared, "key").select("key", "node", "hub"))
+    star = staged(spark, candidates(live.where("node > hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))))
+    links = verified(star)
     found = staged(spark, components(spark, links))
-    labelled = staged(spark, live.select("key", "node", "size", "need").join(found, "node", "left")
-                      .withColumn("label", F.coalesce("component", "node")).drop("component"))
+    labelled = staged(spark, live.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("label")))
     still_open = staged(spark, labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key"))
     rest = staged(spark, labelled.join(still_open, "key", "left_semi"))
-    left = rest.select("key", F.struct("node", "size", "need", "label").alias("other"))
-    pairs = (rest.join(left, "key").where("node < other.node and label != other.label").where(near)
-             .groupBy(F.col("node").alias("a"), F.col("other.node").alias("b")).agg(F.count("*").alias("n"), F.min(F.least("need", "other.need")).alias("need"))
-             .where("n >= need").select("a", "b").join(star, ["a", "b"], "left_anti"))
-    pairs = staged(spark, pairs)
+    other = rest.select("key", F.col("node").alias("b"), F.col("label").alias("label_b"))
+    crossing = rest.join(other, "key").where("node < b and label != label_b").select(F.col("node").alias("a"), "b")
+    pairs = staged(spark, candidates(crossing).join(star, ["a", "b"], "left_anti"))
     discard(spark, shared, live, labelled, still_open, rest)
-    if pairs.isEmpty():
-        return found
-    further = staged(spark, _verified(spark, pairs, sets_of, percent))
-    if further.isEmpty():
+    further = None if pairs.isEmpty() else verified(pairs)
+    if further is None or further.isEmpty():
         return found
-    return components(spark, links.unionByName(further))
-
-
-def _verified(spark: SparkSession, pairs: DataFrame, sets_of: Callable[[np.ndarray], DataFrame], percent: int) -> DataFrame:
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("node"))
-    return jaccard_links(pairs, sets_of(bloom(spark, ids)), percent)
+    return staged(spark, components(spark, links.unionByName(further)))

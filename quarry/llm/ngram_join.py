@@ -101,7 +101,7 @@ def _sets(batches: Iterator[pa.RecordBatch], width: int, wanted: np.ndarray) ->
             doc, values = _shingles(chunk, width)
             ends = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=n)) * 8]).astype(np.int32)
             items = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends), pa.py_buffer(values)])
-            yield pa.RecordBatch.from_arrays([kept.column(0).slice(chunk.first, n), items], names=["node", "items"])
+            yield pa.RecordBatch.from_arrays([kept.column(0).slice(chunk.first, n), items], names=["node", "item"])
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, percent: int = 90) -> DataFrame:
@@ -116,17 +116,17 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", t
     copies = staged(spark, sets.groupBy("k1", "k2", "size").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))
     nodes = sets.join(copies, ["k1", "k2", "size"], "left").select("id", "size", F.coalesce("first", "id").alias("node"), "prefix")
     nodes = staged(spark, nodes.select("id", "size", "node", F.when(F.col("id") == F.col("node"), F.col("prefix")).alias("prefix")))
-    found = linking.groups(spark, _postings(spark, nodes, percent), percent,
-                           lambda wanted: known.mapInArrow(lambda it: _sets(it, width, wanted), "node long, items binary"))
-    found = staged(spark, found)
+    postings, traits = _postings(spark, nodes, percent)
+    found = linking.groups(spark, postings, percent, lambda wanted: known.mapInArrow(lambda it: _sets(it, width, wanted), "node long, item binary"),
+                           lambda item: np.frombuffer(item, np.uint64), traits)
     members = nodes.select("id", "node").distinct().join(found, "node", "left").groupBy("id").agg(F.min(F.coalesce("component", "node")).alias("component"))
     members = staged(spark, members)
     out = rows.select("id", "size").join(members, "id", "left")
     return out.select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 
 
-def _postings(spark: SparkSession, nodes: DataFrame, percent: int) -> DataFrame:
-    """(key, node, size, need) of each node's chosen prefix, without keys that no other node has."""
+def _postings(spark: SparkSession, nodes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(key, node) of each node's chosen prefix, without keys that no other node has; and (node, size, need) of each node."""
     every = nodes.where("prefix is not null").dropDuplicates(["node", "size", "prefix"]).select("node", "size", F.posexplode("prefix").alias("place", "key"))
     lists = staged(spark, every.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
     met = staged(spark, every.join(lists, "key"))
@@ -136,7 +136,7 @@ def _postings(spark: SparkSession, nodes: DataFrame, percent: int) -> DataFrame:
     choice = met.groupBy("node", "size").agg(*sums).select("node", "size", F.least(
         F.array_min(F.array(*costs))["need"], F.expr(least)).alias("need"))
     choice = staged(spark, choice)
-    return met.join(choice, ["node", "size"]).where(f"place < size - {least} + need").select("key", "node", "size", "need").distinct()
+    return met.join(choice, ["node", "size"]).where(f"place < size - {least} + need").select("key", "node").distinct(), choice
 
 
 def brute(rows: list[tuple[int, str | None]], width: int = 3, percent: int = 90) -> list[tuple[int, int, int]]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import decontaminate, ngram_join
+from quarry.llm import decontaminate, line_dedup, ngram_join
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -57,3 +57,9 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, r.low AS component_id FROM d LE
 """)
 def op10_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.jaccard_join(spark, table(spark, folder, "documents"))
+
+
+@query()
+def op3_fuzzy_lines(spark: SparkSession, folder: str) -> DataFrame:
+    found = line_dedup.fuzzy_lines(spark, table(spark, folder, "documents"))
+    return found.select("doc_id", "n_lines", F.size("dropped").cast("long").alias("n_dropped"), "dropped")
