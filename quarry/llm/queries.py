@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import decontaminate, line_dedup, ngram_join
+from quarry.llm import bpe, decontaminate, line_dedup, ngram_join, token_files
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -63,3 +64,15 @@ def op10_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
 def op3_fuzzy_lines(spark: SparkSession, folder: str) -> DataFrame:
     found = line_dedup.fuzzy_lines(spark, table(spark, folder, "documents"))
     return found.select("doc_id", "n_lines", F.size("dropped").cast("long").alias("n_dropped"), "dropped")
+
+
+@query()
+def op6_bpe_lexicon(spark: SparkSession, folder: str) -> DataFrame:
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return bpe.digests(bpe.encode(spark, table(spark, folder, "documents"), path), path)
+
+
+@query()
+def op7_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    manifest = token_files.write(spark, table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return token_files.read(spark, manifest).select("doc_id", "start", "n_tokens", "ids_crc32")
