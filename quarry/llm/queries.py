@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, decontaminate, line_dedup, ngram_join, token_files
+from quarry.llm import bpe, decontaminate, line_dedup, ngram_join, token_files, topk
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -76,3 +76,16 @@ def op6_bpe_lexicon(spark: SparkSession, folder: str) -> DataFrame:
 def op7_token_files(spark: SparkSession, folder: str) -> DataFrame:
     manifest = token_files.write(spark, table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return token_files.read(spark, manifest).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+@query("""
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, v.vec_id, CAST(list_sum(list_transform(list_zip(q.e, v.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 20 = 0),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+SELECT * FROM r WHERE rank <= 20
+""")
+def op5_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings")
+    return topk.top_k(spark, vectors, vectors.where("vec_id % 20 = 0"))
