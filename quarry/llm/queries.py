@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, decontaminate, line_dedup, ngram_join, token_files, topk
+from quarry.llm import bpe, decontaminate, line_dedup, ngram_join, token_files, topk, warc
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -89,3 +89,16 @@ SELECT * FROM r WHERE rank <= 20
 def op5_top_k(spark: SparkSession, folder: str) -> DataFrame:
     vectors = table(spark, folder, "embeddings")
     return topk.top_k(spark, vectors, vectors.where("vec_id % 20 = 0"))
+
+
+@query("""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), d AS (SELECT page_id, strlen(h) AS payload_bytes, sha1(h) AS hex FROM p),
+b AS (SELECT *, array_to_string(list_transform(range(0, 40), lambda i: lpad(bin(instr('0123456789abcdef', hex[i + 1]) - 1), 4, '0')), '') AS bits FROM d),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY hex, payload_bytes) AS first FROM b)
+SELECT page_id, payload_bytes, array_to_string(list_transform(range(0, 32), lambda i:
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1 + list_sum(list_transform(range(0, 5), lambda j: CAST(bits[5 * i + j + 1] AS INT) * (16 >> CAST(j AS INT))))::INT]), '') AS payload_digest,
+  CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to FROM f
+""")
+def op1_warc_chain(spark: SparkSession, folder: str) -> DataFrame:
+    archives = warc.write(spark, table(spark, folder, "pages"))
+    return warc.pages(warc.read(spark, archives)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
