@@ -25,7 +25,7 @@ from quarry.llm import words as W
 
 WINDOW = 13
 BLOCK_BYTES = 8 << 20
-SHARD_BYTES = 6 << 20
+SHARD_BYTES = 3 << 20
 SAMPLE = 8
 
 

@@ -98,11 +98,41 @@ def jaccard_links(pairs: DataFrame, items: DataFrame, percent: int, decode: Call
     return two.select("a", "b", "of_a", "of_b").mapInArrow(judge, "a long, b long").distinct()
 
 
-def groups(spark: SparkSession, postings: DataFrame, percent: int, items_of: Callable[[np.ndarray], DataFrame],
+def with_hubs(postings: DataFrame) -> DataFrame:
+    """(key, node, hub) with node > hub, of the keys that several nodes have, in one exchange. Hubs lead to the key's smallest node.
+
+    postings come with the smallest node of their key in the chunk that they were made from as hub. Only these meet by key, one for
+    each chunk at most, however many nodes share the key; the others are dealt by key and node, and keep their hub.
+    """
+    dealt = postings.repartition(F.when(F.col("node") == F.col("hub"), F.xxhash64("key")).otherwise(F.xxhash64("key", "node")))
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows sorted by key and node. The first of a key's hubs may have come with an earlier batch."""
+        last_key, first_node = None, 0
+        for batch in batches:
+            key, node, hub = (batch.column(i).to_numpy() for i in range(3))
+            local, own = node != hub, node == hub
+            far_key, far_node = key[own], node[own]
+            new = np.ones(len(far_key), bool)
+            new[1:] = far_key[1:] != far_key[:-1]
+            if len(far_key):
+                new[0] = last_key is None or far_key[0] != last_key
+            heads = np.concatenate([[first_node], far_node[new]])
+            far_hub = heads[np.cumsum(new)]
+            if len(far_key):
+                last_key, first_node = far_key[-1], far_hub[-1]
+            other = far_node != far_hub
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in ((key[local], far_key[other]), (node[local], far_node[other]), (hub[local], far_hub[other]))],
+                                             names=["key", "node", "hub"])
+
+    return dealt.sortWithinPartitions("key", "node").mapInArrow(met, "key long, node long, hub long")
+
+
+def groups(spark: SparkSession, met: DataFrame, percent: int, items_of: Callable[[np.ndarray], DataFrame],
            decode: Callable[[pa.Buffer], np.ndarray], traits: DataFrame | None = None) -> DataFrame:
     """(node, component) of the nodes that are linked with any other.
 
-    postings: distinct (key, node); items_of(bitmap) gives (node, item) for the nodes in the bitmap, at least. traits: (node, size,
+    met: (key, node, hub) with node != hub, as of `with_hubs`; every node that shares a key stands in one of the two. items_of(bitmap) gives (node, item) for the nodes in the bitmap, at least. traits: (node, size,
     need); without it one shared key makes a candidate, and sizes are not compared beforehand.
     """
 
@@ -119,18 +149,18 @@ def groups(spark: SparkSession, postings: DataFrame, percent: int, items_of: Cal
         ids = pairs.select(F.explode(F.array("a", "b")).alias("node"))
         return staged(spark, jaccard_links(pairs, staged(spark, items_of(bloom(spark, ids))), percent, decode))
 
-    shared = staged(spark, postings.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("high")).where("hub < high").select("key", "hub"))
-    live = staged(spark, postings.join(shared, "key").select("key", "node", "hub"))
-    star = staged(spark, candidates(live.where("node > hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))))
+    live = staged(spark, met)
+    star = staged(spark, candidates(live.select(F.col("hub").alias("a"), F.col("node").alias("b"))))
     links = verified(star)
     found = staged(spark, components(spark, links))
-    labelled = staged(spark, live.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("label")))
+    every = live.select("key", F.explode(F.array("node", "hub")).alias("node")).distinct()
+    labelled = staged(spark, every.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("label")))
     still_open = staged(spark, labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key"))
     rest = staged(spark, labelled.join(still_open, "key", "left_semi"))
     other = rest.select("key", F.col("node").alias("b"), F.col("label").alias("label_b"))
     crossing = rest.join(other, "key").where("node < b and label != label_b").select(F.col("node").alias("a"), "b")
     pairs = staged(spark, candidates(crossing).join(star, ["a", "b"], "left_anti"))
-    discard(spark, shared, live, labelled, still_open, rest)
+    discard(spark, live, labelled, still_open, rest)
     further = None if pairs.isEmpty() else verified(pairs)
     if further is None or further.isEmpty():
         return found

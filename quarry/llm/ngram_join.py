@@ -28,7 +28,7 @@ from quarry.llm import linking
 from quarry.llm import words as W
 from quarry.session import discard, staged
 
-LOCAL, ORDERED, BLOCK, MOST = 3, 1 << 19, 1 << 22, 4
+LOCAL, ORDERED, BLOCK, MOST = 3, 1 << 19, 1 << 20, 4
 #: Cost of verifying a pair, in entries of a list; a chance partner shares one more shingle with this probability.
 VERIFY, CHANCE = 60, 0.25
 _U = np.uint64
@@ -116,8 +116,8 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", t
     copies = staged(spark, sets.groupBy("k1", "k2", "size").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))
     nodes = sets.join(copies, ["k1", "k2", "size"], "left").select("id", "size", F.coalesce("first", "id").alias("node"), "prefix")
     nodes = staged(spark, nodes.select("id", "size", "node", F.when(F.col("id") == F.col("node"), F.col("prefix")).alias("prefix")))
-    postings, traits = _postings(spark, nodes, percent)
-    found = linking.groups(spark, postings, percent, lambda wanted: known.mapInArrow(lambda it: _sets(it, width, wanted), "node long, item binary"),
+    met, traits = _postings(spark, nodes, percent)
+    found = linking.groups(spark, met, percent, lambda wanted: known.mapInArrow(lambda it: _sets(it, width, wanted), "node long, item binary"),
                            lambda item: np.frombuffer(item, np.uint64), traits)
     members = nodes.select("id", "node").distinct().join(found, "node", "left").groupBy("id").agg(F.min(F.coalesce("component", "node")).alias("component"))
     members = staged(spark, members)
@@ -126,9 +126,9 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", t
 
 
 def _postings(spark: SparkSession, nodes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(key, node) of each node's chosen prefix, without keys that no other node has; and (node, size, need) of each node."""
+    """(key, node, hub) of each node's chosen prefix, hub being the smallest node that has the key; and (node, size, need) of each node."""
     every = nodes.where("prefix is not null").dropDuplicates(["node", "size", "prefix"]).select("node", "size", F.posexplode("prefix").alias("place", "key"))
-    lists = staged(spark, every.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+    lists = staged(spark, every.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("hub")).where("n > 1"))
     met = staged(spark, every.join(lists, "key"))
     least = f"((size * {percent} + 99) div 100)"
     sums = [F.sum(F.when(F.expr(f"place < size - {least} + {k}"), F.col("n") - 1).otherwise(0)).alias(f"s{k}") for k in range(1, MOST + 1)]
@@ -136,7 +136,7 @@ def _postings(spark: SparkSession, nodes: DataFrame, percent: int) -> tuple[Data
     choice = met.groupBy("node", "size").agg(*sums).select("node", "size", F.least(
         F.array_min(F.array(*costs))["need"], F.expr(least)).alias("need"))
     choice = staged(spark, choice)
-    return met.join(choice, ["node", "size"]).where(f"place < size - {least} + need").select("key", "node").distinct(), choice
+    return met.join(choice, ["node", "size"]).where(f"place < size - {least} + need").where("node != hub").select("key", "node", "hub").distinct(), choice
 
 
 def brute(rows: list[tuple[int, str | None]], width: int = 3, percent: int = 90) -> list[tuple[int, int, int]]:

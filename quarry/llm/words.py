@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK = 3 << 20
+CHUNK = 3 << 19
 #: Separators of `[^\x20\x09-\x0D]+` and of `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+` (texts lower-cased in A-Z first).
 BLANKS = np.zeros(256, bool)
 BLANKS[[0x20, *range(0x09, 0x0E)]] = True
@@ -36,7 +36,7 @@ def _tables(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
         up, down = np.full(size, base, np.uint64), np.full(size, pow(base, -1, 1 << 64), np.uint64)
         up[0] = down[0] = 1
         have = np.cumprod(up), np.cumprod(down)
-        if size <= 2 * CHUNK:
+        if size <= 4 * CHUNK:
             _powers[base] = have
     return have
 
