@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, decontaminate, line_dedup, ngram_join, token_files, topk, warc
+from quarry.llm import bpe, brown, decontaminate, line_dedup, ngram_join, token_files, topk, warc
+from quarry.llm.words import crc_remainder
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -102,3 +103,11 @@ SELECT page_id, payload_bytes, array_to_string(list_transform(range(0, 32), lamb
 def op1_warc_chain(spark: SparkSession, folder: str) -> DataFrame:
     archives = warc.write(spark, table(spark, folder, "pages"))
     return warc.pages(warc.read(spark, archives)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query()
+def op9_brown_scores(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    held_out = crc_remainder("doc_id", 5) == 1
+    scored = brown.score(spark, docs, docs.where(~held_out))
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
