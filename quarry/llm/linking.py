@@ -129,36 +129,44 @@ def with_hubs(postings: DataFrame) -> DataFrame:
 
 
 def groups(spark: SparkSession, met: DataFrame, percent: int, items_of: Callable[[np.ndarray], DataFrame],
-           decode: Callable[[pa.Buffer], np.ndarray], traits: DataFrame | None = None) -> DataFrame:
+           decode: Callable[[pa.Buffer], np.ndarray]) -> DataFrame:
     """(node, component) of the nodes that are linked with any other.
 
-    met: (key, node, hub) with node != hub, as of `with_hubs`; every node that shares a key stands in one of the two. items_of(bitmap) gives (node, item) for the nodes in the bitmap, at least. traits: (node, size,
-    need); without it one shared key makes a candidate, and sizes are not compared beforehand.
+    met: (key, node, hub) with node != hub, as of `with_hubs`; every node that shares a key stands in one of the two. It may carry
+    `of` and `of_hub`, structs of size, need and the key's place in the node's set: partners must share at least the smaller of
+    their needs, sizes must allow the similarity, and so must places: what two sets share begins with their first common key, and
+    the rest of either set is as long as that, so each of the first `need` common keys leaves enough. items_of(bitmap) gives (node, item) for the nodes in the bitmap, at least.
     """
+    if "of" not in met.columns:
+        alike = F.struct(F.lit(1).alias("size"), F.lit(1).alias("need"), F.lit(0).alias("place"))
+        met = met.withColumns({"of": alike, "of_hub": alike})
+
+    need = F.least("of_a.need", "of_b.need")
+    ahead = F.least(F.col("of_a.size") - F.col("of_a.place"), F.col("of_b.size") - F.col("of_b.place"))
+    sizes = F.col("of_a.size") + F.col("of_b.size")
+    possible = ((100 * F.least("of_a.size", "of_b.size") >= percent * F.greatest("of_a.size", "of_b.size"))
+                & ((100 + percent) * (ahead + need - 1) >= percent * sizes))
 
     def candidates(shared: DataFrame) -> DataFrame:
-        pairs = shared.groupBy("a", "b").agg(F.count("*").alias("n"))
-        if traits is None:
-            return pairs.select("a", "b")
-        for side in ("a", "b"):
-            pairs = pairs.join(traits.select(F.col("node").alias(side), F.struct("size", "need").alias(f"of_{side}")), side)
-        fits = (F.col("n") >= F.least("of_a.need", "of_b.need")) & (100 * F.least("of_a.size", "of_b.size") >= percent * F.greatest("of_a.size", "of_b.size"))
-        return pairs.where(fits).select("a", "b").distinct()
+        """Pairs from rows (a, b, of_a, of_b), one for each key that the two share."""
+        fits = (F.count("*") >= F.min(need)) & ((100 + percent) * F.max(ahead) >= percent * F.min(sizes))
+        return shared.where(possible).groupBy("a", "b").agg(fits.alias("fits")).where("fits").select("a", "b")
 
     def verified(pairs: DataFrame) -> DataFrame:
         ids = pairs.select(F.explode(F.array("a", "b")).alias("node"))
         return staged(spark, jaccard_links(pairs, staged(spark, items_of(bloom(spark, ids))), percent, decode))
 
     live = staged(spark, met)
-    star = staged(spark, candidates(live.select(F.col("hub").alias("a"), F.col("node").alias("b"))))
+    star = staged(spark, candidates(live.select(F.col("hub").alias("a"), F.col("node").alias("b"), F.col("of_hub").alias("of_a"), F.col("of").alias("of_b"))))
     links = verified(star)
     found = staged(spark, components(spark, links))
-    every = live.select("key", F.explode(F.array("node", "hub")).alias("node")).distinct()
-    labelled = staged(spark, every.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("label")))
+    every = live.select("key", F.explode(F.array(F.struct("node", "of"), F.struct(F.col("hub").alias("node"), F.col("of_hub").alias("of")))).alias("x")).select("key", "x.*").distinct()
+    labelled = staged(spark, every.join(found, "node", "left").select("key", "node", "of", F.coalesce("component", "node").alias("label")))
     still_open = staged(spark, labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key"))
     rest = staged(spark, labelled.join(still_open, "key", "left_semi"))
-    other = rest.select("key", F.col("node").alias("b"), F.col("label").alias("label_b"))
-    crossing = rest.join(other, "key").where("node < b and label != label_b").select(F.col("node").alias("a"), "b")
+    one, two = (rest.select("key", *(F.col(c).alias(f"{c}_{side}") for c in ("node", "of", "label"))) for side in ("a", "b"))
+    apart = (F.col("node_a") < F.col("node_b")) & (F.col("label_a") != F.col("label_b"))
+    crossing = one.join(two.withColumnRenamed("key", "key_b"), (F.col("key") == F.col("key_b")) & apart & possible).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), "of_a", "of_b")
     pairs = staged(spark, candidates(crossing).join(star, ["a", "b"], "left_anti"))
     discard(spark, live, labelled, still_open, rest)
     further = None if pairs.isEmpty() else verified(pairs)

@@ -8,7 +8,8 @@ needs the smaller k of the two. Equal sets are folded into one class first; the
 `linking.groups` and verified on the whole sets.
 
 The order only affects cost, so the counts behind it may be lower bounds: a task reports the shingles that it sees in at least
-LOCAL documents of a block of texts, and the ORDERED most frequent of the sums are put last.
+LOCAL documents of a block of texts, and the ORDERED most frequent of the sums are put last. With them go the ORDERED keys of the
+longest lists, of more than SHORT entries, that prefixes in this first order would make; those counts are exact.
 
 Nulls and texts without words have an empty set and link with nothing (component: their own id). A null id takes no part
 (component null). Repeated rows fall into one class; an id that occurs with several texts links through any of them. An empty
@@ -28,7 +29,8 @@ from quarry.llm import linking
 from quarry.llm import words as W
 from quarry.session import discard, staged
 
-LOCAL, ORDERED, BLOCK, MOST = 3, 1 << 19, 1 << 20, 4
+LOCAL, ORDERED, BLOCK, MOST = 2, 1 << 19, 1 << 20, 4
+SHORT = 8
 #: Cost of verifying a pair, in entries of a list; a chance partner shares one more shingle with this probability.
 VERIFY, CHANCE = 60, 0.25
 _U = np.uint64
@@ -110,33 +112,42 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", t
     known = texts.where("id is not null")
     often = (known.select("text").mapInArrow(lambda it: _frequent(it, width), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
              .orderBy(F.desc("n"), "key").limit(ORDERED).toArrow())
-    order = spark.sparkContext.broadcast(Order(often["key"].to_numpy(), often["n"].to_numpy()))
-    rows = staged(spark, texts.mapInArrow(lambda it: _prefixes(it, width, percent, order.value), "id long, size long, k1 long, k2 long, prefix array<long>"))
+    first = spark.sparkContext.broadcast(Order(often["key"].to_numpy(), often["n"].to_numpy()))
+    schema = "id long, size long, k1 long, k2 long, prefix array<long>"
+    # the lists that prefixes in this order would make show, by exact counts, which further keys had better come last
+    lists = (texts.mapInArrow(lambda it: _prefixes(it, width, percent, first.value), schema).select(F.explode("prefix").alias("key"))
+             .groupBy("key").agg(F.count("*").alias("n")).where(f"n > {SHORT}").orderBy(F.desc("n"), "key").limit(ORDERED).toArrow())
+    keys, counts = np.concatenate([often["key"].to_numpy(), lists["key"].to_numpy()]), np.concatenate([often["n"].to_numpy(), lists["n"].to_numpy()])
+    best = np.lexsort((-counts, keys))
+    best = best[np.concatenate([[True], keys[best][1:] != keys[best][:-1]])[: len(best)]]
+    order = spark.sparkContext.broadcast(Order(keys[best], counts[best]))
+    rows = staged(spark, texts.mapInArrow(lambda it: _prefixes(it, width, percent, order.value), schema))
     sets = rows.where("size > 0 and id is not null")
     copies = staged(spark, sets.groupBy("k1", "k2", "size").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))
     nodes = sets.join(copies, ["k1", "k2", "size"], "left").select("id", "size", F.coalesce("first", "id").alias("node"), "prefix")
     nodes = staged(spark, nodes.select("id", "size", "node", F.when(F.col("id") == F.col("node"), F.col("prefix")).alias("prefix")))
-    met, traits = _postings(spark, nodes, percent)
-    found = linking.groups(spark, met, percent, lambda wanted: known.mapInArrow(lambda it: _sets(it, width, wanted), "node long, item binary"),
-                           lambda item: np.frombuffer(item, np.uint64), traits)
+    found = linking.groups(spark, _postings(spark, nodes, percent), percent, lambda wanted: known.mapInArrow(lambda it: _sets(it, width, wanted), "node long, item binary"),
+                           lambda item: np.frombuffer(item, np.uint64))
     members = nodes.select("id", "node").distinct().join(found, "node", "left").groupBy("id").agg(F.min(F.coalesce("component", "node")).alias("component"))
     members = staged(spark, members)
     out = rows.select("id", "size").join(members, "id", "left")
     return out.select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 
 
-def _postings(spark: SparkSession, nodes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(key, node, hub) of each node's chosen prefix, hub being the smallest node that has the key; and (node, size, need) of each node."""
+def _postings(spark: SparkSession, nodes: DataFrame, percent: int) -> DataFrame:
+    """(key, node, hub, of, of_hub) of each node's chosen prefix; hub: the smallest node that has the key."""
     every = nodes.where("prefix is not null").dropDuplicates(["node", "size", "prefix"]).select("node", "size", F.posexplode("prefix").alias("place", "key"))
-    lists = staged(spark, every.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("hub")).where("n > 1"))
+    lists = staged(spark, every.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("node", "size", "place")).alias("hub")).where("n > 1"))
     met = staged(spark, every.join(lists, "key"))
     least = f"((size * {percent} + 99) div 100)"
     sums = [F.sum(F.when(F.expr(f"place < size - {least} + {k}"), F.col("n") - 1).otherwise(0)).alias(f"s{k}") for k in range(1, MOST + 1)]
     costs = [F.struct((F.col(f"s{k}") * (1 + VERIFY * CHANCE ** (k - 1))).alias("cost"), F.lit(k).cast("long").alias("need")) for k in range(1, MOST + 1)]
-    choice = met.groupBy("node", "size").agg(*sums).select("node", "size", F.least(
-        F.array_min(F.array(*costs))["need"], F.expr(least)).alias("need"))
-    choice = staged(spark, choice)
-    return met.join(choice, ["node", "size"]).where(f"place < size - {least} + need").where("node != hub").select("key", "node", "hub").distinct(), choice
+    choice = staged(spark, met.groupBy("node", "size").agg(*sums).select("node", "size", F.least(F.array_min(F.array(*costs))["need"], F.expr(least)).alias("need")))
+    # a hub's need isn't known here; its partner's stands in for it, as the pairs that this leaves out are met later
+    chosen = met.join(choice, ["node", "size"]).where(f"place < size - {least} + need").where("node != hub.node")
+    of_hub = F.struct(F.col("hub.size").alias("size"), F.col("need"), F.col("hub.place").alias("place"))
+    near = chosen.select("key", "node", F.col("hub.node").alias("hub"), F.struct("size", "need", "place").alias("of"), of_hub.alias("of_hub"))
+    return near.distinct()
 
 
 def brute(rows: list[tuple[int, str | None]], width: int = 3, percent: int = 90) -> list[tuple[int, int, int]]:

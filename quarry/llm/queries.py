@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, brown, decontaminate, line_dedup, ngram_join, token_files, topk, warc
+from quarry.llm import bpe, brown, decontaminate, line_dedup, ngram_join, token_files, topk, toxicity, warc
 from quarry.llm.words import crc_remainder
 
 QUERIES: dict = {}
@@ -111,3 +111,11 @@ def op9_brown_scores(spark: SparkSession, folder: str) -> DataFrame:
     held_out = crc_remainder("doc_id", 5) == 1
     scored = brown.score(spark, docs, docs.where(~held_out))
     return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query()
+def op4_string_kernel(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    held_out = crc_remainder("doc_id", 3) == 1
+    model = toxicity.train(spark, docs, labels.where(~held_out))
+    return toxicity.score(spark, docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
