@@ -448,30 +448,37 @@ def encode(spark: SparkSession, docs: DataFrame, path: str, id_col: str = "doc_i
     return texts.mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, ids array<int>").withColumnRenamed("id", id_col)
 
 
+def decoded(vocab: Vocabulary, ids: np.ndarray) -> str:
+    """Text of ids: byte-level vocabularies give their bytes as UTF-8, vocabularies with word ends their names with blanks between."""
+    if vocab.lower:
+        return " ".join(map(vocab.names.__getitem__, ids.tolist()))
+    return vocab.library.decode(ids.tolist(), skip_special_tokens=False)
+
+
 def decode(encoded: DataFrame, path: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
-    """Adds the text of the ids: byte-level vocabularies give their bytes as UTF-8, vocabularies with word ends their names with blanks between."""
+    """Adds the text of the ids."""
 
     @F.pandas_udf("string")
     def text(column):
-        vocab = vocabulary(path)
-        if vocab.lower:
-            return column.map(lambda ids: " ".join(map(vocab.names.__getitem__, ids.tolist())))
-        return column.map(lambda ids: vocab.library.decode(ids.tolist(), skip_special_tokens=False))
+        return column.map(lambda ids: decoded(vocabulary(path), ids))
 
     return encoded.withColumn(out, text(ids_col))
 
 
-def digests(encoded: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
-    """id, n_tokens, ids_sha256 (of little-endian 32-bit ids), decoded_sha256."""
+def round_trip(spark: SparkSession, docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Encodes and decodes in one pass: id, n_tokens, ids_sha256 (of little-endian 32-bit ids), decoded_sha256."""
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    name = lexicon(spark, texts.select("text"), path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab, hashes = vocabulary(path), hashlib.sha256
         for batch in batches:
-            column = batch.column(1)
-            edges, ids = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False).astype("<u4")
-            spans = [ids[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(edges).astype(np.int64)), pa.array([hashlib.sha256(s).hexdigest() for s in spans]),
-                                              batch.column(2)], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    kind = encoded.schema[id_col].dataType.simpleString()
-    ready = decode(encoded, path).select(F.col(id_col).alias("id"), "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
-    return ready.mapInArrow(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
+            for chunk in W.chunks(batch.column(1)):
+                ids, edges = encoder(path, name).encode(chunk)
+                each = [ids[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([
+                    batch.column(0).slice(chunk.first, chunk.last - chunk.first), pa.array(np.diff(edges)), pa.array([hashes(x.astype("<u4").tobytes()).hexdigest() for x in each]),
+                    pa.array([hashes(decoded(vocab, x).encode()).hexdigest() for x in each])], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return texts.mapInArrow(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)

@@ -70,7 +70,7 @@ def op3_fuzzy_lines(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def op6_bpe_lexicon(spark: SparkSession, folder: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
-    return bpe.digests(bpe.encode(spark, table(spark, folder, "documents"), path), path)
+    return bpe.round_trip(spark, table(spark, folder, "documents"), path)
 
 
 @query()
