@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import words as W
+from quarry.session import staged
 
 WINDOW = 13
 BLOCK_BYTES = 8 << 20
@@ -253,6 +254,15 @@ def contamination(spark: SparkSession, docs: DataFrame, items: DataFrame, id_col
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).withColumnRenamed("id", id_col)
 
 
+def flagged(spark: SparkSession, docs: DataFrame, items: DataFrame, text_col: str = "text", **options) -> DataFrame:
+    """All rows and columns of docs, and `_contaminated`: judged where they are, each row's text under its hash for the join back."""
+    told = docs.withColumn("_key", F.struct(F.xxhash64(text_col), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))).cast("string"))
+    judged = contamination(spark, told.select("_key", F.col(text_col).alias("text")), items, id_col="_key", **options)
+    goes = staged(spark, judged.where("contaminated").select("_key").distinct())
+    kept = told.join(goes.withColumn("_contaminated", F.lit(True)), "_key", "left")
+    return kept.withColumn("_contaminated", F.coalesce("_contaminated", F.lit(False))).drop("_key")
+
+
 def digest(column: str = "items"):
     return F.sha2(F.concat_ws(",", F.col(column)).cast("binary"), 256)
 

@@ -1,7 +1,7 @@
 """Toxicity by a subsequence string kernel SVM with Nyström landmarks.
 
 Two words are as alike as the subsequences of three and four characters that they share, each weighted by DECAY to the power of the
-stretch it takes up in either word, so letters may be skipped and characters inserted ("i.d.i.o.t"). Words count with their
+shortest stretch it takes up in either word, so letters may be skipped and characters inserted ("i.d.i.o.t"). Words count with their
 begin and end; single letters with blanks between ("i d i o t") are taken as one word.
 
 A document is as toxic as its worst word. Labels belong to whole texts, so training is multiple-instance: in each toxic text the
@@ -18,6 +18,7 @@ learned from. Without toxic or without clean rows all scores are 0. Repeated row
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
@@ -30,9 +31,9 @@ from pyspark.sql import functions as F
 from quarry.llm import words as W
 from quarry.llm.line_dedup import characters
 
-SAMPLE, LANDMARKS, NEGATIVES, ROUNDS, DECAY, COST = 4000, 256, 8000, 3, 0.75, 4.0
+SAMPLE, LANDMARKS, NEGATIVES, ROUNDS, DECAY, COST = 4000, 512, 12000, 4, 0.8, 300.0
 #: Places of the further characters of a subsequence, after its first.
-STEPS = [*combinations(range(1, 7), 2), *combinations(range(1, 6), 3)]
+STEPS = sorted([*combinations(range(1, 6), 2), *combinations(range(1, 6), 3)], key=lambda s: s[-1])
 LONGEST = 400  # characters of a word that are compared at once; longer ones are cut into overlapping stretches
 _U = np.uint64
 _MANY = np.random.default_rng(5).integers(1, 1 << 63, 8, dtype=np.uint64) * _U(2) + _U(1)
@@ -56,8 +57,9 @@ def units(chunk: W.Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate([starts, starts[begin]]), np.concatenate([ends, ends[stop - 1]]), np.concatenate([doc, doc[begin]])
 
 
-def subsequences(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
-    """(word, hash, weight) of all subsequences of the words, for each pattern of places in turn."""
+def subsequences(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, float]]:
+    """For each pattern of places in turn, shortest stretches first: the word of every place, the hash of the subsequence from there,
+    whether it lies within the word, and its weight."""
     points, before = characters(buf)
     points = _fold(points).astype(np.uint64)
     a, size = before[starts], before[ends] - before[starts]
@@ -67,13 +69,13 @@ def subsequences(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Itera
     whole[W.ragged(edges[:-1] + 1, size)] = points[W.ragged(a, size)]
     word = np.repeat(np.arange(len(starts)), size + 2)
     room = np.repeat(edges[1:], size + 2) - np.arange(len(whole))
-    first = whole * _MANY[0]
+    n, parts = len(whole), [whole * m for m in _MANY[:4]]
     for steps in STEPS:
-        at = np.flatnonzero(room > steps[-1])
-        h = first[at] + _U(len(steps)) * _MANY[7]
+        last = steps[-1]
+        h = parts[0][: n - last] + _U(len(steps)) * _MANY[7]
         for k, s in enumerate(steps):
-            h = h + whole[at + s] * _MANY[k + 1]
-        yield word[at], W.mix(h), DECAY ** (steps[-1] + 1)
+            h += parts[k + 1][s: n - last + s]
+        yield word, h, room[: n - last] > last, DECAY ** (last + 1)
 
 
 @dataclass
@@ -85,19 +87,23 @@ class Model:
     bias: float
     slope: float = 1.0
     shift: float = 0.0
+    name: str = ""
 
     def __post_init__(self):
         self.seen = np.zeros(1 << 22, bool)
         self.seen[self.keys >> _U(42)] = True
 
     def values(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(starts))
-        for word, h, weight in subsequences(buf, starts, ends):
-            maybe = np.flatnonzero(self.seen[h >> _U(42)])
-            place = np.minimum(np.searchsorted(self.keys, h[maybe]), len(self.keys) - 1)
+        met, n_keys = [], len(self.keys)
+        for word, h, inside, weight in subsequences(buf, starts, ends):
+            maybe = np.flatnonzero(self.seen[h >> _U(42)] & inside)
+            place = np.minimum(np.searchsorted(self.keys, h[maybe]), n_keys - 1)
             match = self.keys[place] == h[maybe]
-            out += np.bincount(word[maybe[match]], self.weights[place[match]], len(starts)) * weight
-        return out / _scale(ends - starts) + self.bias
+            met.append((word[maybe[match]] * n_keys + place[match], np.full(int(match.sum()), weight)))
+        # a subsequence that a word holds several times counts once, by its shortest stretch
+        cell, first = np.unique(np.concatenate([c for c, _ in met]), return_index=True)
+        weight = np.concatenate([w for _, w in met])[first]
+        return np.bincount(cell // n_keys, self.weights[cell % n_keys] * weight, len(starts)) / _scale(ends - starts) + self.bias
 
     def probability(self, values: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * values + self.shift, -500, 500)))
@@ -117,7 +123,7 @@ def _joined(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sparse rows of subsequence weights: word, hash, value."""
     buf, starts, ends = _joined(words)
-    rows = [(w, h, np.full(len(w), x)) for w, h, x in subsequences(buf, starts, ends)]
+    rows = [(w[np.flatnonzero(ok)], h[ok], np.full(int(ok.sum()), x)) for w, h, ok, x in subsequences(buf, starts, ends)]
     word, h, value = (np.concatenate(c) for c in zip(*rows, strict=True))
     return word, h, value / _scale(ends - starts)[word]
 
@@ -130,7 +136,7 @@ def _kernel(words: list[bytes], keys: np.ndarray, table: np.ndarray) -> np.ndarr
         place = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
         match = keys[place] == h
         dense = np.zeros((min(1000, len(words) - at), len(keys)), np.float32)
-        np.add.at(dense, (word[match], place[match]), value[match])
+        np.maximum.at(dense, (word[match], place[match]), value[match])
         out[at: at + 1000] = dense @ table
     return out
 
@@ -161,11 +167,11 @@ def _fit_words(positive: list[bytes], negative: list[bytes]) -> Model:
     gaps = [b".".join(bytes([b]) for b in w) for w in positive if w.isascii() and 3 < len(w) < 30]
     spaced = [w[: len(w) // 2] + b"*" + w[len(w) // 2:] for w in positive if w.isascii() and 3 < len(w) < 30]
     good = list(dict.fromkeys([*positive, *gaps, *spaced]))
-    marks = list(dict.fromkeys([*positive[: LANDMARKS * 3 // 4], *negative[: LANDMARKS // 4]]))
+    marks = list(dict.fromkeys([*positive[: LANDMARKS // 2], *negative[: LANDMARKS // 2]]))
     word, h, value = _features(marks)
     keys = np.unique(h)
     table = np.zeros((len(keys), len(marks)), np.float32)
-    np.add.at(table, (np.searchsorted(keys, h), word), value)
+    np.maximum.at(table, (np.searchsorted(keys, h), word), value)
     among = (table.T @ table).astype(np.float64)
     scale = np.sqrt(np.trace(among) / len(marks))
     values, vectors = np.linalg.eigh(among / scale**2)
@@ -173,7 +179,7 @@ def _fit_words(positive: list[bytes], negative: list[bytes]) -> Model:
     whiten = vectors[:, kept] / np.sqrt(values[kept]) / scale**2
     x = np.vstack([_kernel(good, keys, table), _kernel(negative, keys, table)]) @ whiten
     y = np.concatenate([np.ones(len(good)), -np.ones(len(negative))])
-    beta = _svm(x, y, np.where(y > 0, COST * 0.5 * len(y) / len(good) / 10, COST))
+    beta = _svm(x, y, np.where(y > 0, COST * max(1.0, 0.1 * len(negative) / len(good)), COST))
     return Model(keys, (table @ (whiten @ beta[:-1])).astype(np.float64), float(beta[-1]))
 
 
@@ -204,26 +210,29 @@ def fit(texts: list[str | None], toxic: list[int]) -> Model | None:
     other = np.flatnonzero(good > 0)
     spread = other[np.argsort(W.mix(other.astype(np.uint64)), kind="stable")][: NEGATIVES // 2]
     clean = list(dict.fromkeys([*common[good[common] > 0].tolist(), *spread.tolist()]))
-    worth = np.where(good == 0, bad, bad - 20.0 * good)
+    odds = np.log(((bad + 0.5) / (1 + len(toxic_ids))) / ((good + 1) / (1 + len(toxic) - len(toxic_ids))))
+    worth = bad * odds
     model, hard = None, []
+    enough = 2 if len(toxic_ids) > 50 else 1  # a word of one text only may be anything
     for turn in range(ROUNDS):
         wins: dict[int, int] = {}
         for d in toxic_ids:
             if len(held[d]):
                 w = int(held[d][np.argmax(worth[held[d]])])
-                if good[w] == 0:
+                if odds[w] > 2.5 and (turn == 0 or worth[w] > 0) and bad[w] >= enough:
                     wins[w] = wins.get(w, 0) + 1
         if not wins:
             return None
-        least = 2 if turn == 0 and max(wins.values()) > 3 else 1
-        witnesses = [w for w in sorted(wins, key=lambda w: (-wins[w], w)) if wins[w] >= least]
-        model = _fit_words([names[w] for w in witnesses], [names[w] for w in [*hard, *clean]])
+        witnesses = sorted(wins, key=lambda w: (-wins[w], w))
+        against = [names[w] for w in [*hard, *clean] if w not in wins and odds[w] < 2.5]
+        model = _fit_words([names[w] for w in witnesses], against)
         worth = np.concatenate([model.values(*_joined(names[at: at + 50000])) for at in range(0, len(names), 50000)])
-        hard = other[np.argsort(-worth[other], kind="stable")][: NEGATIVES // 4].tolist()
-        worth = worth + np.where(good == 0, 0.05 * np.log1p(bad), -2.0)
+        hard = [*dict.fromkeys([*other[np.argsort(-worth[other] + 5 * (odds[other] > 2.5), kind="stable")][: NEGATIVES // 6].tolist(), *hard])]
+        worth = worth + 0.3 * np.clip(odds, -2, 4)
     raw = np.concatenate([model.values(*_joined(names[at: at + 50000])) for at in range(0, len(names), 50000)])
     top = np.array([raw[d].max() if len(d) else -1.0 for d in held])
     model.slope, model.shift = _curve(top, np.array(toxic, bool))
+    model.name = uuid.uuid4().hex
     return model
 
 
@@ -259,7 +268,7 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str =
 class Scorer:
     """Remembers the values of words in a table of one slot a word."""
 
-    SLOTS = 1 << 20
+    SLOTS = 1 << 21
 
     def __init__(self, model: Model):
         self.model, self.keys, self.held = model, np.zeros(self.SLOTS, np.uint64), np.zeros(self.SLOTS)
@@ -294,12 +303,23 @@ class Scorer:
         return out
 
 
+_scorers: dict[str, Scorer] = {}
+
+
+def _scorer(model: Model) -> Scorer:
+    """One for each worker process and model."""
+    if model.name not in _scorers:
+        _scorers.clear()
+        _scorers[model.name] = Scorer(model)
+    return _scorers[model.name]
+
+
 def score(spark: SparkSession, docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", least: float = 0.7) -> DataFrame:
     """Per document: id, score (0 to 1), predicted (1 from `least` on)."""
     sent = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(sent.value) if sent.value else None
+        scorer = _scorer(sent.value) if sent.value else None
         for batch in batches:
             for chunk in W.chunks(batch.column(1)):
                 n = chunk.last - chunk.first
@@ -312,3 +332,20 @@ def score(spark: SparkSession, docs: DataFrame, model: Model | None, id_col: str
     kind = docs.schema[id_col].dataType.simpleString()
     scored = docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"id {kind}, score double")
     return scored.select(F.col("id").alias(id_col), "score", (F.col("score") >= least).cast("int").alias("predicted"))
+
+
+def flagged(spark: SparkSession, docs: DataFrame, model: Model, text_col: str = "text", least: float = 0.7) -> DataFrame:
+    """All rows and columns of docs, and `_predicted`: scored where they are, without a join."""
+    sent = spark.sparkContext.broadcast(model)
+
+    @F.pandas_udf("int")
+    def predicted(column):
+        import pandas as pd
+
+        scorer, found = _scorer(sent.value), []
+        for chunk in W.chunks(pa.array(column, pa.large_string())):
+            top = scorer.tops(chunk)
+            found.append(scorer.model.probability(np.where(np.isfinite(top), top, -1.0)) >= least)
+        return pd.Series(np.concatenate([np.zeros(0, bool), *found]).astype(np.int32))
+
+    return docs.withColumn("_predicted", predicted(F.col(text_col)))
