@@ -137,15 +137,16 @@ def groups(spark: SparkSession, met: DataFrame, percent: int, items_of: Callable
     their needs, sizes must allow the similarity, and so must places: what two sets share begins with their first common key, and
     the rest of either set is as long as that, so each of the first `need` common keys leaves enough. items_of(bitmap) gives (node, item) for the nodes in the bitmap, at least.
     """
-    if "of" not in met.columns:
-        alike = F.struct(F.lit(1).alias("size"), F.lit(1).alias("need"), F.lit(0).alias("place"))
+    told = "of" in met.columns
+    if not told:
+        alike = F.struct(F.lit(1).alias("size"), F.lit(1).alias("need"), F.lit(0).alias("place"), F.lit(0).alias("before"))
         met = met.withColumns({"of": alike, "of_hub": alike})
 
     need = F.least("of_a.need", "of_b.need")
     ahead = F.least(F.col("of_a.size") - F.col("of_a.place"), F.col("of_b.size") - F.col("of_b.place"))
     sizes = F.col("of_a.size") + F.col("of_b.size")
     possible = ((100 * F.least("of_a.size", "of_b.size") >= percent * F.greatest("of_a.size", "of_b.size"))
-                & ((100 + percent) * (ahead + need - 1) >= percent * sizes))
+                & ((100 + percent) * (ahead + F.least(need - 1, "of_a.before", "of_b.before")) >= percent * sizes))
 
     def candidates(shared: DataFrame) -> DataFrame:
         """Pairs from rows (a, b, of_a, of_b), one for each key that the two share."""
@@ -157,10 +158,10 @@ def groups(spark: SparkSession, met: DataFrame, percent: int, items_of: Callable
         return staged(spark, jaccard_links(pairs, staged(spark, items_of(bloom(spark, ids))), percent, decode))
 
     live = staged(spark, met)
-    star = staged(spark, candidates(live.select(F.col("hub").alias("a"), F.col("node").alias("b"), F.col("of_hub").alias("of_a"), F.col("of").alias("of_b"))))
+    star = staged(spark, candidates(live.where("node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b"), F.col("of_hub").alias("of_a"), F.col("of").alias("of_b"))))
     links = verified(star)
     found = staged(spark, components(spark, links))
-    every = live.select("key", F.explode(F.array(F.struct("node", "of"), F.struct(F.col("hub").alias("node"), F.col("of_hub").alias("of")))).alias("x")).select("key", "x.*").distinct()
+    every = live.select("key", "node", "of") if told else live.select("key", F.explode(F.array(F.struct("node", "of"), F.struct(F.col("hub").alias("node"), F.col("of_hub").alias("of")))).alias("x")).select("key", "x.*").distinct()
     labelled = staged(spark, every.join(found, "node", "left").select("key", "node", "of", F.coalesce("component", "node").alias("label")))
     still_open = staged(spark, labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key"))
     rest = staged(spark, labelled.join(still_open, "key", "left_semi"))

@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.llm import linking
@@ -143,11 +143,11 @@ def _postings(spark: SparkSession, nodes: DataFrame, percent: int) -> DataFrame:
     sums = [F.sum(F.when(F.expr(f"place < size - {least} + {k}"), F.col("n") - 1).otherwise(0)).alias(f"s{k}") for k in range(1, MOST + 1)]
     costs = [F.struct((F.col(f"s{k}") * (1 + VERIFY * CHANCE ** (k - 1))).alias("cost"), F.lit(k).cast("long").alias("need")) for k in range(1, MOST + 1)]
     choice = staged(spark, met.groupBy("node", "size").agg(*sums).select("node", "size", F.least(F.array_min(F.array(*costs))["need"], F.expr(least)).alias("need")))
+    ahead = Window.partitionBy("node", "size").orderBy("place")  # a node's prefix
+    chosen = met.join(choice, ["node", "size"]).where(f"place < size - {least} + need").withColumn("before", F.row_number().over(ahead) - 1)
     # a hub's need isn't known here; its partner's stands in for it, as the pairs that this leaves out are met later
-    chosen = met.join(choice, ["node", "size"]).where(f"place < size - {least} + need").where("node != hub.node")
-    of_hub = F.struct(F.col("hub.size").alias("size"), F.col("need"), F.col("hub.place").alias("place"))
-    near = chosen.select("key", "node", F.col("hub.node").alias("hub"), F.struct("size", "need", "place").alias("of"), of_hub.alias("of_hub"))
-    return near.distinct()
+    of_hub = F.struct(F.col("hub.size").alias("size"), F.col("need"), F.col("hub.place").alias("place"), F.col("before"))
+    return chosen.select("key", "node", F.col("hub.node").alias("hub"), F.struct("size", "need", "place", "before").alias("of"), of_hub.alias("of_hub")).distinct()
 
 
 def brute(rows: list[tuple[int, str | None]], width: int = 3, percent: int = 90) -> list[tuple[int, int, int]]:
