@@ -134,13 +134,14 @@ def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows: list[tuple] = []
-    names = ["file", "split", "place", "size", "header", "block", "tail"]
-    kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64()]
+    names = ["file", "split", "place", "header", "block", "rest", "tail"]
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64()]
     weight = 0
     for file, split, place, piece in _walk(batches):
         header, block = _header(piece)
         data = bytes(piece)
-        rows.append((file, split, place, len(data), data[:header] if header else None, data[header: header + block] if header else data, block if header else -1))
+        cut = header + block if header else len(data)
+        rows.append((file, split, place, data[:header] if header else None, data[header:cut], data[cut:], block if header else -1))
         weight += len(data)
         if weight > 4 << 20:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
@@ -178,7 +179,7 @@ def chain(spark: SparkSession, folder: str) -> DataFrame:
 def read(spark: SparkSession, folder: str) -> DataFrame:
     """file, header (text), payload (binary), payload_bytes and payload_hex (length and SHA-1 of the block) of every record."""
     found = staged(spark, chain(spark, folder))
-    pieces = _pieces(spark, folder).mapInArrow(_parsed, "file string, split long, place long, size long, header binary, block binary, tail long")
+    pieces = _pieces(spark, folder).mapInArrow(_parsed, "file string, split long, place long, header binary, block binary, rest binary, tail long")
     ready = pieces.where(F.col("tail") == F.octet_length("block")).withColumn("hex", F.sha1("block"))
     whole = ready.join(found, ["file", "split", "place"]).select("file", "header", F.col("block").alias("payload"), "hex", F.col("tail").alias("payload_bytes"))
     cut = pieces.where(F.col("tail") > F.octet_length("block"))
@@ -188,7 +189,7 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     # a record that goes on behind a magic in its payload: its own piece and the pieces up to the next record, in order
     starts = found.join(torn.select("file").distinct(), "file", "left_semi").withColumn("starts", F.lit(True))
     near = pieces.join(torn.select("file").distinct(), "file", "left_semi").join(starts, ["file", "split", "place"], "left").join(torn.withColumn("torn", F.lit(True)), ["file", "split", "place"], "left")
-    inner = near.where("torn or starts is null").withColumn("piece", F.when(F.col("torn"), F.col("block")).otherwise(F.concat(F.coalesce("header", F.lit(b"")), "block")))
+    inner = near.where("torn or starts is null").withColumn("piece", F.when(F.col("torn"), F.col("block")).otherwise(F.concat(F.coalesce("header", F.lit(b"")), "block", "rest")))
     ahead = Window.partitionBy("file").orderBy("split", "place")
     owned = inner.withColumn("owner", F.last(F.when(F.col("torn"), F.struct("split", "place", "header", "tail")), True).over(ahead)).where("owner is not null")
     joined = owned.groupBy("file", "owner").agg(F.array_sort(F.collect_list(F.struct("split", "place", "piece"))).alias("parts"))
