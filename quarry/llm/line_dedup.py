@@ -165,9 +165,10 @@ def _texts(batches: Iterator[pa.RecordBatch], wanted: np.ndarray) -> Iterator[pa
             yield pa.RecordBatch.from_arrays([pa.array(lines.digest[pick].view(np.int64)), item], names=["node", "item"])
 
 
-def line_set(item, shingle: int) -> np.ndarray:
-    points, before = characters(np.frombuffer(item, np.uint8))
-    return np.unique(_windows(points, before[:1], before[-1:], shingle)[1])
+def line_sets(items: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    chunk = next(W.chunks(items, 1 << 40))
+    points, before = characters(chunk.buf)
+    return W.distinct(*_windows(points, before[chunk.offsets[:-1]], before[chunk.offsets[1:]], shingle))
 
 
 def fuzzy_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
@@ -178,7 +179,7 @@ def fuzzy_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
     seen = staged(spark, texts.mapInArrow(_occurrences, f"id {docs.schema[id_col].dataType.simpleString()}, line long, node long"))
     postings = only.mapInArrow(lambda it: _keys(it, shingle, bands, rows), "key long, node long, hub long")
     found = linking.groups(spark, linking.with_hubs(postings), percent, lambda wanted: only.mapInArrow(lambda it: _texts(it, wanted), "node long, item binary").dropDuplicates(["node"]),
-                           lambda item: line_set(item, shingle))
+                           lambda items: line_sets(items, shingle))
     named = staged(spark, seen.join(found, "node", "left").select("id", "line", F.coalesce("component", "node").alias("group")))
     stays = staged(spark, named.where("group is not null and id is not null").groupBy("group").agg(F.min(F.struct("id", "line")).alias("stays"), F.count("*").alias("n")).where("n > 1").drop("n"))
     marked = named.join(stays, "group", "left")

@@ -76,22 +76,34 @@ def in_bloom(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
     return (bits[places >> 3] >> (places & 7).astype(np.uint8)) & 1 > 0
 
 
-def jaccard_links(pairs: DataFrame, items: DataFrame, percent: int, decode: Callable[[pa.Buffer], np.ndarray]) -> DataFrame:
-    """Of pairs (a, b), those with 100 * intersection >= percent * union. items: (node, item), which `decode` makes a sorted set."""
+Sets = Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
+
+
+def jaccard_links(pairs: DataFrame, items: DataFrame, percent: int, sets: Sets) -> DataFrame:
+    """Of pairs (a, b), those with 100 * intersection >= percent * union. items: (node, item); `sets` turns a column of items into
+    (row, value), each distinct value of a row once."""
+
+    def common(rows: np.ndarray, values: np.ndarray, other_rows: np.ndarray, other_values: np.ndarray, n: int) -> np.ndarray:
+        salt = np.uint64(0x9E3779B97F4A7C15)
+        one = np.sort(values + rows.astype(np.uint64) * salt)
+        two = other_values + other_rows.astype(np.uint64) * salt
+        place = np.minimum(np.searchsorted(one, two), max(0, len(one) - 1))
+        return np.bincount(other_rows[one[place] == two], minlength=n) if len(one) else np.zeros(n, np.int64)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = np.zeros(batch.num_rows, bool)
-            left, right = batch.column(2), batch.column(3)
-            for i in range(batch.num_rows):
-                x, y = decode(left[i].as_buffer()), decode(right[i].as_buffer())
-                if len(x) > len(y):
-                    x, y = y, x
-                if 100 * len(x) < percent * len(y):
-                    continue
-                common = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
-                keep[i] = 100 * common >= percent * (len(x) + len(y) - common)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], names=["a", "b"])
+            at = 0
+            for chunk in W.chunks(batch.column(2), W.CHUNK // 2):
+                n = chunk.last - at
+                left, right = batch.column(2).slice(at, n), batch.column(3).slice(at, n)
+                rows, values = sets(left)
+                others, of_others = sets(right)
+                size, other = np.bincount(rows, minlength=n), np.bincount(others, minlength=n)
+                fits = 100 * np.minimum(size, other) >= percent * np.maximum(size, other)
+                both = common(rows[fits[rows]], values[fits[rows]], others[fits[others]], of_others[fits[others]], n)
+                keep = pa.array(fits & (100 * both >= percent * (size + other - both)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n).filter(keep), batch.column(1).slice(at, n).filter(keep)], names=["a", "b"])
+                at = chunk.last
 
     one = pairs.join(items.select(F.col("node").alias("b"), F.col("item").alias("of_b")), "b")
     two = one.join(items.select(F.col("node").alias("a"), F.col("item").alias("of_a")), "a")
@@ -129,7 +141,7 @@ def with_hubs(postings: DataFrame) -> DataFrame:
 
 
 def groups(spark: SparkSession, met: DataFrame, percent: int, items_of: Callable[[np.ndarray], DataFrame],
-           decode: Callable[[pa.Buffer], np.ndarray]) -> DataFrame:
+           sets: Sets) -> DataFrame:
     """(node, component) of the nodes that are linked with any other.
 
     met: (key, node, hub) with node != hub, as of `with_hubs`; every node that shares a key stands in one of the two. It may carry
@@ -155,7 +167,7 @@ def groups(spark: SparkSession, met: DataFrame, percent: int, items_of: Callable
 
     def verified(pairs: DataFrame) -> DataFrame:
         ids = pairs.select(F.explode(F.array("a", "b")).alias("node"))
-        return staged(spark, jaccard_links(pairs, staged(spark, items_of(bloom(spark, ids))), percent, decode))
+        return staged(spark, jaccard_links(pairs, staged(spark, items_of(bloom(spark, ids))), percent, sets))
 
     live = staged(spark, met)
     star = staged(spark, candidates(live.where("node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b"), F.col("of_hub").alias("of_a"), F.col("of").alias("of_b"))))

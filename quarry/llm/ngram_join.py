@@ -127,13 +127,19 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", t
     nodes = sets.join(copies, ["k1", "k2", "size"], "left").select("id", "size", F.coalesce("first", "id").alias("node"), "prefix")
     nodes = staged(spark, nodes.select("id", "size", "node", F.when(F.col("id") == F.col("node"), F.col("prefix")).alias("prefix")))
     found = linking.groups(spark, _postings(spark, nodes, percent), percent, lambda wanted: known.mapInArrow(lambda it: _sets(it, width, wanted), "node long, item binary"),
-                           lambda item: np.frombuffer(item, np.uint64))
+                           _stored)
     members = nodes.select("id", "node").distinct().join(found, "node", "left").groupBy("id").agg(F.min(F.coalesce("component", "node")).alias("component"))
     members = staged(spark, members)
     out = rows.select("id", "size").join(members, "id", "left")
     return out.select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 
 
+def _stored(items: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    edges = np.frombuffer(items.buffers()[1], np.int32)[items.offset: items.offset + len(items) + 1].astype(np.int64)
+    data = np.frombuffer(items.buffers()[2], np.uint8)[edges[0]: edges[-1]].view(np.uint64)
+    return np.repeat(np.arange(len(items)), np.diff(edges) // 8), data
+
+
 def _postings(spark: SparkSession, nodes: DataFrame, percent: int) -> DataFrame:
     """(key, node, hub, of, of_hub) of each node's chosen prefix; hub: the smallest node that has the key."""
     every = nodes.where("prefix is not null").dropDuplicates(["node", "size", "prefix"]).select("node", "size", F.posexplode("prefix").alias("place", "key"))
