@@ -283,7 +283,6 @@ CENTROID_SQL = """pos AS (SELECT label, i, avg(embedding[i]::DOUBLE) AS x FROM e
 cen AS (SELECT label AS query_id, list(x ORDER BY i) AS v FROM pos GROUP BY 1),
 kn AS (SELECT query_id, vec_id, label, row_number() OVER (PARTITION BY query_id ORDER BY list_cosine_similarity(embedding::DOUBLE[], v) DESC, vec_id) AS rank
        FROM embeddings CROSS JOIN cen)"""
-MAX_QUESTIONS = 100_000
 
 
 def _label_questions(spark: SparkSession, folder: str, k: int) -> DataFrame:
@@ -292,11 +291,7 @@ def _label_questions(spark: SparkSession, folder: str, k: int) -> DataFrame:
     means = vectors.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(
         F.avg(F.col("x").cast("double")).alias("x")).groupBy("label").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda e: e["x"]).alias("v"))
-    # An evaluation set is small by nature; a label column that is not one is refused, not truncated.
-    rows = means.limit(MAX_QUESTIONS + 1).collect()
-    if len(rows) > MAX_QUESTIONS:
-        raise ValueError("too many labels for a question set")
-    return R.knn(vectors.select("vec_id", "label", "embedding"), "embedding", [(r["label"], r["v"]) for r in rows], k, "vec_id")
+    return R.knn(vectors.select("vec_id", "label", "embedding"), "embedding", ((r["label"], r["v"]) for r in means.toLocalIterator()), k, "vec_id")
 
 
 @query(f"""WITH {CENTROID_SQL},

@@ -204,12 +204,28 @@ def _byte_sql(i: int) -> str:
     return f"round((('0x' || substring(sha256(text), {(i % 32) * 2 + 1}, 2))::INTEGER - 127.5::DOUBLE) / 127.5::DOUBLE, 5)"
 
 
-@query(f"SELECT doc_id, 384::BIGINT AS dim, {_byte_sql(0)} AS e0, {_byte_sql(31)} AS e31, {_byte_sql(383)} AS e383 FROM documents")
+@query(f"""SELECT doc_id, 384::BIGINT AS dim, {_byte_sql(0)} AS e0, {_byte_sql(31)} AS e31, {_byte_sql(383)} AS e383,
+  md5(array_to_string(list_transform(range(384), lambda i: ('0x' || substring(sha256(text), CAST((i % 32) * 2 + 1 AS INTEGER), 2))::INTEGER), ',')) AS every_dimension FROM documents""")
 def digest_embeddings(spark, folder):
     """The deterministic test embedding of every document."""
     df = table(spark, folder, "documents").select("doc_id", digest_embedding(F.col("text")).alias("v"))
     at = lambda i: F.round(F.get("v", F.lit(i)).cast("double"), 5).alias(f"e{i}")
-    return df.select("doc_id", F.size("v").cast("long").alias("dim"), at(0), at(31), at(383))
+    whole = F.md5(F.array_join(F.transform("v", lambda x: F.round(x * 127.5 + 127.5).cast("int").cast("string")), ",").cast("binary"))
+    return df.select("doc_id", F.size("v").cast("long").alias("dim"), at(0), at(31), at(383), whole.alias("every_dimension"))
+
+
+@query("""
+WITH w AS (SELECT doc_id, lower(unnest(regexp_extract_all(text, '[A-Z][a-z0-9]+|[a-z][a-z0-9]*|[A-Z]+'))) AS word FROM documents),
+c AS (SELECT doc_id, word, count(*) AS n, md5(word) AS h FROM w GROUP BY ALL),
+b AS (SELECT doc_id, CAST(CAST(concat('0x', h[1:8]) AS BIGINT) % 384 AS INTEGER) AS bucket, sum((CASE WHEN h[9] >= '8' THEN 1.0::DOUBLE ELSE -1 END) * (1 + ln(n::DOUBLE))) AS x FROM c GROUP BY 1, 2)
+SELECT doc_id, bucket, round(CAST(CAST(x / sqrt(sum(x * x) OVER (PARTITION BY doc_id)) AS FLOAT) AS DOUBLE), 5) AS value FROM b WHERE abs(x) > 1e-9""")
+def feature_embeddings(spark, folder):
+    """Every non-zero component of the feature-hash embedding of every document."""
+    from quarry.functions.vectors import HashedFeatures
+
+    df = HashedFeatures().embed(table(spark, folder, "documents").select("doc_id", "text"))
+    return df.select("doc_id", F.posexplode("embedding").alias("bucket", "x")).where("abs(x) > 1e-8").select(
+        "doc_id", "bucket", F.round(F.col("x").cast("double"), 5).alias("value"))
 
 
 @query(f"""WITH {LINES_SQL}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +15,6 @@ from quarry.functions import text as T
 # Fusion damping, pool size, score multipliers, BM25 parameters.
 RRF_K = 60
 SEED_POOL = 20
-OVERFETCH = 3
 NO_SYMBOL, TEST_CODE, CONNECTED, STANDALONE, HOP_DECAY = 0.55, 0.35, 1.35, 0.55, 0.45
 EXPAND_SEEDS, EXPAND_LIMIT = 5, 6
 BM25_K1, BM25_B = 1.2, 0.75
@@ -24,7 +23,7 @@ QUERY_BLOCK_BYTES = 8 << 20
 
 
 # ---------------------------------------------------------------- vector arm
-def knn(df: DataFrame, vector: str, queries: list[tuple[object, list[float]]], k: int, ties: str,
+def knn(df: DataFrame, vector: str, queries: Iterable[tuple[object, list[float]]], k: int, ties: str,
         query_column: str = "query_id") -> DataFrame:
     """Exact cosine top-k for each query vector: (query, all columns but the vector, score, rank).
 
@@ -32,6 +31,7 @@ def knn(df: DataFrame, vector: str, queries: list[tuple[object, list[float]]], k
     merge sees k rows per query and partition whatever the table holds. More queries than a block holds are
     handled by further passes.
     """
+    queries = list(queries)
     dim = max((len(v) for _, v in queries), default=1)
     size = max(1, QUERY_BLOCK_BYTES // (8 * dim))
     blocks = [queries[i: i + size] for i in range(0, len(queries), size)]
@@ -49,7 +49,7 @@ def knn(df: DataFrame, vector: str, queries: list[tuple[object, list[float]]], k
 
 
 def _block_scorer(block, vector: str, kept: list[str], k: int, ties: str, query_column: str):
-    ids = [q for q, _ in block]
+    names = pa.array([q for q, _ in block])
     matrix = np.array([v for _, v in block], dtype=np.float64)
     norms = np.linalg.norm(matrix, axis=1, keepdims=True)
     unit = np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0)
@@ -64,16 +64,33 @@ def _block_scorer(block, vector: str, kept: list[str], k: int, ties: str, query_
             rows = flat.reshape(batch.num_rows, -1)
             lengths = np.linalg.norm(rows, axis=1)
             cosine = (rows @ unit.T) / np.where(lengths > 0, lengths, 1.0)[:, None]
-            narrow = pa.Table.from_batches([batch]).select(kept)
-            found = [narrow.append_column(query_column, pa.array([q] * len(narrow)))
-                     .append_column("score", pa.array(cosine[:, i])) for i, q in enumerate(ids)]
-            pool = _best(pa.concat_tables(found if pool is None else [pool, *found]), k, ties, query_column)
+            row, query = _top(cosine, batch.column(ties), k)
+            found = pa.Table.from_batches([batch]).select(kept).take(pa.array(row))
+            found = found.append_column(query_column, names.take(pa.array(query))).append_column("score", pa.array(cosine[row, query]))
+            pool = _best(found if pool is None else pa.concat_tables([pool, found]), k, ties, query_column)
         if pool is not None:
             yield from pool.combine_chunks().to_batches()
 
     return score
 
 
+def _top(scores: np.ndarray, ties: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the k highest scores of every column, ties to the smaller tie value: at most k rows for each query."""
+    if len(scores) <= k:
+        return np.repeat(np.arange(len(scores)), scores.shape[1]), np.tile(np.arange(scores.shape[1]), len(scores))
+    least = np.partition(scores, len(scores) - k, axis=0)[len(scores) - k]
+    column, row = np.nonzero((scores >= least).T)
+    if len(row) > k * scores.shape[1]:
+        place = np.empty(len(scores), np.int64)
+        place[pa.compute.sort_indices(ties).to_numpy()] = np.arange(len(scores))
+        order = np.lexsort((place[row], -scores[row, column], column))
+        row, column = row[order], column[order]
+        first = np.flatnonzero(np.concatenate([[True], np.diff(column) > 0]))
+        kept = np.arange(len(column)) - np.repeat(first, np.diff(np.append(first, len(column)))) < k
+        row, column = row[kept], column[kept]
+    return row, column
+
+
 def _best(table: pa.Table, k: int, ties: str, query_column: str) -> pa.Table:
     """First k rows of each query by score, then by the tie column."""
     ordered = table.sort_by([(query_column, "ascending"), ("score", "descending"), (ties, "ascending")])
