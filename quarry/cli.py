@@ -56,13 +56,12 @@ def _parser() -> argparse.ArgumentParser:
     return top
 
 
-def _report(results, spark) -> int:
-    for r in results:
-        print(f"{r.id}\t{r.baseline_tokens}\t{r.tokens}\t{r.saving:.2f}x\t{r.recall:.2f}\t{'pass' if r.passed else 'FAIL ' + r.detail}")
-    total = evaluate.summary(spark, results)
-    print(f"median token saving: {total['median_saving'] or 0:.0f}x across {total['measured']} questions with a baseline")
-    print(f"passed: {total['passed']}/{total['questions']}")
-    return 0 if total["passed"] == total["questions"] else 1
+def _report(results) -> int:
+    for r in results.collect():  # a row for each question of the set
+        print(r.id, r.baseline_tokens, r.tokens, f"{r.saving:.2f}", f"{r.recall:.2f}", "ok" if r.passed else f"failed: {r.detail}", sep="\t")
+    total = evaluate.summary(results)
+    print(f"{total['passed']} of {total['questions']} passed; median saving {total['median_saving'] or 0:.0f}x over {total['measured']} with a baseline")
+    return int(total["passed"] != total["questions"])
 
 
 def main(argv: list[str] | None = None, spark=None) -> int:
@@ -96,7 +95,7 @@ def main(argv: list[str] | None = None, spark=None) -> int:
     if command == "demo":
         for name in sorted(e.name for e in os.scandir(args.path) if e.is_dir() and not e.name.startswith(".")):
             print(index_repo(spark, warehouse, os.path.join(args.path, name), name, force=True))
-        return _report(evaluate.run(spark, warehouse, evaluate.load_spec(args.spec), "", args.path), spark) if args.spec else 0
+        return _report(evaluate.run(spark, warehouse, evaluate.load_spec(args.spec), "", args.path)) if args.spec else 0
     try:
         repo = tools.choose_repo(warehouse, args.repo, os.path.basename(os.getcwd()))
     except LookupError as error:
@@ -109,7 +108,7 @@ def main(argv: list[str] | None = None, spark=None) -> int:
         return 0 if status else 1
     if command == "eval":
         spec = evaluate.load_spec(args.spec)
-        return _report(evaluate.run(spark, warehouse, spec, repo, os.path.realpath(args.root), use_graph=not args.no_graph), spark)
+        return _report(evaluate.run(spark, warehouse, spec, repo, os.path.realpath(args.root), use_graph=not args.no_graph))
     ask = tools.Explorer(spark, warehouse, repo)
     pack = {
         "search": lambda: ask.search(args.query, args.k, args.scope, args.include_tests, not args.no_graph, args.budget),

@@ -1,34 +1,24 @@
-"""Golden questions: does each answer contain what it must, and what does it cost next to grep-and-read?"""
+"""Golden questions as relations: questions, what each expects, what each answer holds and costs, and what a plain search costs.
 
-from __future__ import annotations
+A question set is small and given by hand. Its answers come from the tools one by one; all the rest is one plan over the
+whole set: every expectation is a row that an answer holds or not, and each tree is searched once for all patterns.
+"""
 
-from dataclasses import dataclass
+from __future__ import annotations
 
 import yaml
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.operators.evaluate import grep_baseline
+from quarry.operators.evaluate import grep_costs
 from quarry.plans.tools import Explorer
 from quarry.sources.tree import scan_tree
 from quarry.sources.warehouse import Warehouse
 
 SEARCH_K, SEARCH_BUDGET, READ_FILES = 8, 1500, 4
-
-
-@dataclass
-class Result:
-    id: str
-    question: str
-    baseline_tokens: int
-    tokens: int
-    recall: float
-    passed: bool
-    detail: str = ""
-
-    @property
-    def saving(self) -> float:
-        return self.baseline_tokens / self.tokens if self.tokens else 0.0
+TOOLS = ("symbol_context", "what_breaks", "what_tests", "file_context")
+#: Names of the lists in a question file, and the part each plays.
+PARTS = {"must_contain": "wanted", "expect_symbols": "wanted", "expect_files": "wanted", "forbid_symbols": "barred"}
 
 
 def load_spec(path: str) -> dict:
@@ -36,58 +26,61 @@ def load_spec(path: str) -> dict:
         return yaml.safe_load(handle)
 
 
-def answer(explorer: Explorer, question: dict, use_graph: bool):
-    tool = question.get("tool")
-    if tool is None:
-        return explorer.search(question["question"], k=SEARCH_K, expand=use_graph, budget=SEARCH_BUDGET)
-    if tool not in ("symbol_context", "what_breaks", "what_tests", "file_context"):
-        raise ValueError(f"unknown tool in golden set: {tool}")
-    return getattr(explorer, tool)(question["target"])
-
-
-def judge(question: dict, rendered: str, cost: int) -> tuple[float, bool, str]:
-    """Recall, verdict and why it failed."""
-    inside = lambda items: [i for i in items if i in rendered]
-    if "tool" in question:
-        needed = question.get("must_contain", [])
-        missing = [m for m in needed if m not in rendered]
-        ceiling = question.get("max_tokens")
-        over = bool(ceiling) and cost > ceiling
-        why = "missing: " + ", ".join(missing) if missing else f"over budget: {cost} > {ceiling}" if over else ""
-        return 1.0 - len(missing) / max(1, len(needed)), not missing and not over, why
-    wanted = question.get("expect_symbols", []) + question.get("expect_files", [])
-    recall = len(inside(wanted)) / len(wanted) if wanted else 1.0
-    leaked = inside(question.get("forbid_symbols", []))
-    floor = question.get("min_recall", 1.0)
-    why = ("returned a forbidden match: " + ", ".join(leaked) if leaked
-           else f"recall {recall:.2f} below {floor}" if recall < floor else "")
-    return recall, recall >= floor and not leaked, why
-
-
-def run(spark: SparkSession, warehouse: Warehouse, spec: dict, repo: str, root: str, embedder=None,
-        use_graph: bool = True) -> list[Result]:
-    opened = int(spec.get("baseline", {}).get("read_files", READ_FILES))
-    explorers: dict[str, Explorer] = {}
-    trees: dict[str, DataFrame] = {}
-    results = []
-    for question in spec["questions"]:
-        name = question.get("repo", repo)
-        explorer = explorers.setdefault(name, Explorer(spark, warehouse, name, embedder))
-        folder = f"{root}/{question['baseline_root']}" if question.get("baseline_root") else root
-        tree = trees.setdefault(folder, scan_tree(spark, folder, name).select(
-            F.concat(F.lit(folder + "/"), "path").alias("path"), "text"))
-        baseline = grep_baseline(tree, question.get("baseline_grep", ""), opened)
-        pack = answer(explorer, question, use_graph)
-        cost = pack.tokens()
-        recall, passed, why = judge(question, pack.render(), cost)
-        results.append(Result(question["id"], question["question"], baseline, cost, recall, passed, why))
-    return results
-
-
-def summary(spark: SparkSession, results: list[Result]) -> dict:
-    rows = [(r.baseline_tokens, float(r.saving), r.passed) for r in results]
-    df = spark.createDataFrame(rows, "baseline long, saving double, passed boolean")
-    row = df.agg(F.percentile(F.when(F.col("baseline") > 0, F.col("saving")), 0.5).alias("median_saving"),
-                 F.count_if(F.col("baseline") > 0).alias("measured"), F.count_if("passed").alias("passed"),
-                 F.count(F.lit(1)).alias("questions")).first()
-    return row.asDict()
+def expectations(spark: SparkSession, questions: list[dict]) -> DataFrame:
+    """id, part (wanted or barred), item."""
+    rows = [(q["id"], part, item) for q in questions for name, part in PARTS.items() if ("tool" in q) == (name == "must_contain") for item in q.get(name, [])]
+    return spark.createDataFrame(rows, "id string, part string, item string")
+
+
+def answers(spark: SparkSession, warehouse: Warehouse, questions: list[dict], repo: str, embedder=None, use_graph: bool = True) -> DataFrame:
+    """id, place in the set, answer, tokens, and the limits that the question sets."""
+    ask = {name: Explorer(spark, warehouse, name, embedder) for name in {q.get("repo", repo) for q in questions}}
+    rows = []
+    for place, q in enumerate(questions):
+        tool, explorer = q.get("tool"), ask[q.get("repo", repo)]
+        if tool is not None and tool not in TOOLS:
+            raise ValueError(f"question {q['id']} asks for a tool that isn't there: {tool}")
+        pack = getattr(explorer, tool)(q["target"]) if tool else explorer.search(q["question"], k=SEARCH_K, expand=use_graph, budget=SEARCH_BUDGET)
+        rows.append((q["id"], place, q["question"], pack.render(), pack.tokens(), q.get("max_tokens") if tool else None, 1.0 if tool else float(q.get("min_recall", 1.0))))
+    return spark.createDataFrame(rows, "id string, place int, question string, answer string, tokens long, ceiling long, floor double")
+
+
+def baselines(spark: SparkSession, spec: dict, root: str) -> DataFrame:
+    """id, baseline: tokens of searching and reading, for the questions that name a pattern."""
+    opened, trees = int(spec.get("baseline", {}).get("read_files", READ_FILES)), {}
+    for q in spec["questions"]:
+        if q.get("baseline_grep"):
+            trees.setdefault(f"{root}/{q['baseline_root']}" if q.get("baseline_root") else root, {})[q["id"]] = q["baseline_grep"]
+    out = spark.createDataFrame([], "id string, baseline long")
+    for folder, patterns in trees.items():
+        files = scan_tree(spark, folder, "").select(F.concat(F.lit(folder + "/"), "path").alias("path"), "text")
+        out = out.unionByName(grep_costs(files, patterns, opened).withColumnRenamed("tokens", "baseline"))
+    return out
+
+
+def run(spark: SparkSession, warehouse: Warehouse, spec: dict, repo: str, root: str, embedder=None, use_graph: bool = True) -> DataFrame:
+    """A row for each question: id, question, baseline_tokens, tokens, saving, recall, passed, detail."""
+    given = answers(spark, warehouse, spec["questions"], repo, embedder, use_graph)
+    held = expectations(spark, spec["questions"]).join(given, "id").withColumn("there", F.contains("answer", F.col("item")))
+    wanted = F.col("part") == "wanted"
+    told = held.groupBy("id").agg(
+        F.avg(F.when(wanted, F.col("there").cast("double"))).alias("found"),
+        F.array_sort(F.collect_list(F.when(wanted & ~F.col("there"), F.col("item")))).alias("absent"),
+        F.array_sort(F.collect_list(F.when(~wanted & F.col("there"), F.col("item")))).alias("leaked"))
+    none = F.array().cast("array<string>")
+    rows = given.join(told, "id", "left").join(baselines(spark, spec, root), "id", "left").withColumns({
+        "recall": F.coalesce("found", F.lit(1.0)), "absent": F.coalesce("absent", none), "leaked": F.coalesce("leaked", none),
+        "baseline_tokens": F.coalesce("baseline", F.lit(0))})
+    low, dear = F.col("recall") < F.col("floor"), F.coalesce(F.col("tokens") > F.col("ceiling"), F.lit(False))
+    why = F.concat_ws("; ", F.when(F.size("leaked") > 0, F.concat(F.lit("should not hold "), F.array_join("leaked", ", "))),
+                      F.when(low, F.concat(F.lit("lacks "), F.array_join("absent", ", "))),
+                      F.when(dear, F.concat_ws(" ", F.lit("costs"), "tokens", F.lit("of"), "ceiling")))
+    return rows.orderBy("place").select(
+        "id", "question", "baseline_tokens", "tokens", F.coalesce(F.try_divide("baseline_tokens", "tokens"), F.lit(0.0)).alias("saving"),
+        "recall", (~low & ~dear & (F.size("leaked") == 0)).alias("passed"), why.alias("detail"))
+
+
+def summary(results: DataFrame) -> dict:
+    measured = F.col("baseline_tokens") > 0
+    return results.agg(F.percentile(F.when(measured, F.col("saving")), 0.5).alias("median_saving"), F.count_if(measured).alias("measured"),
+                       F.count_if("passed").alias("passed"), F.count(F.lit(1)).alias("questions")).first().asDict()
