@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, brown, decontaminate, line_dedup, ngram_join, token_files, topk, toxicity, warc
+from quarry.llm import bpe, brown, chunk_dedup, decontaminate, line_dedup, ngram_join, token_files, topk, toxicity, warc
 from quarry.llm.words import crc_remainder
 
 QUERIES: dict = {}
@@ -119,3 +119,11 @@ def op4_string_kernel(spark: SparkSession, folder: str) -> DataFrame:
     held_out = crc_remainder("doc_id", 3) == 1
     model = toxicity.train(spark, docs, labels.where(~held_out))
     return toxicity.score(spark, docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+@query()
+def op2_repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
+    found = chunk_dedup.repeated_passages(spark, table(spark, folder, "documents"))
+    size = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+    return found.select("doc_id", "n_bytes", F.size("repeated").cast("long").alias("n_repeated"), size("repeated").alias("repeated_bytes"),
+                        size("removed").alias("removed_bytes"), "repeated", "removed")
