@@ -89,6 +89,9 @@ def _header(piece) -> tuple[int, int]:
     """Bytes of the header with its blank line and of the block; (0, 0) where there is no header."""
     head = bytes(piece[: 1 << 16])
     end = head.find(b"\r\n\r\n")
+    if end < 0 and len(piece) > len(head):  # a header has no bound: urls can be long
+        head = bytes(piece)
+        end = head.find(b"\r\n\r\n")
     length = _LENGTH.search(head[: end + 2]) if end >= 0 else None
     return (end + 4, int(length[1])) if length else (0, 0)
 

@@ -175,6 +175,13 @@ def test_warc_chain_rejects_magic_in_payloads(spark, tmp_path):
         warc.read(spark, str(torn)).count()
 
 
+def test_warc_headers_have_no_bound(spark, tmp_path):
+    url = "data:text/plain," + "x" * 100_000
+    pages = spark.createDataFrame([(1, "u", "a"), (2, url, "b"), (3, "v", "c")], "page_id long, url string, html string")
+    found = warc.pages(warc.read(spark, warc.write(spark, pages.coalesce(1), f"{tmp_path}/w"))).collect()
+    assert {r.page_id: r.url for r in found} == {1: "u", 2: url, 3: "v"}
+
+
 @pytest.mark.parametrize("cosine", [0.0, 0.75])
 def test_top_k_matches_brute_force(spark, monkeypatch, cosine):
     monkeypatch.setattr(topk, "COSINE", cosine)
