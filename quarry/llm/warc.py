@@ -4,8 +4,8 @@ Writing: pages with equal payloads share one response, that of the smallest id;
 plain WARC/1.1 files, written by Spark's text writer with the record separator as line separator, so they can lie on any file
 system that Spark reaches, and a failed task leaves nothing behind.
 
-Reading: Spark's text reader splits the files at the magic `WARC/1.1` CRLF wherever it occurs, in payloads too. Each task walks its
-splits and turns every occurrence into a candidate: its place in the split and, from its header's Content-Length, the place of its
+Reading: Spark's text reader splits the files at the magic `WARC/1.1` CRLF wherever it occurs, in payloads too. One scan stores the
+pieces, and chain and records follow from what it stored. Each task walks its splits and turns every occurrence into a candidate: its place in the split and, from its header's Content-Length, the place of its
 successor. Chains within a split are contracted to their exit. Between splits, pointer jumping from the start of each file finds the
 place where the true chain enters each split; only candidates on the chain from there are records. A record whose payload holds
 the magic is put together from the pieces up to its successor. A chain that ends before the end of its file raises.
@@ -19,7 +19,6 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -96,34 +95,6 @@ def _header(piece) -> tuple[int, int]:
     return (end + 4, int(length[1])) if length else (0, 0)
 
 
-def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each split: places and successors of its candidates, and their exits from the split."""
-
-    def row(key, places, successors, total):
-        at = {p: i for i, p in enumerate(places)}
-        exits = np.array(successors, np.int64)
-        for i in range(len(places) - 1, -1, -1):
-            s = successors[i]
-            if 0 <= s < total:
-                exits[i] = exits[at[s]] if s in at else -1
-        return pa.RecordBatch.from_arrays([pa.array([key[0]]), pa.array([key[1]]), pa.array([total]), pa.array([places], pa.list_(pa.int64())),
-                                           pa.array([successors], pa.list_(pa.int64())), pa.array([exits.tolist()], pa.list_(pa.int64()))],
-                                          names=["file", "split", "total", "places", "successors", "exits"])
-
-    held, places, successors, total = None, [], [], 0
-    for file, split, place, piece in _walk(batches):
-        if (file, split) != held:
-            if held:
-                yield row(held, places, successors, total)
-            held, places, successors = (file, split), [], []
-        header, block = _header(piece)
-        places.append(place)
-        successors.append(place + len(_M) + header + block + len(GAP) if header else -1)
-        total = place + len(piece) + len(_M)
-    if held:
-        yield row(held, places, successors, total)
-
-
 def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Places on the chain from a split's entry."""
     for batch in batches:
@@ -135,27 +106,52 @@ def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([split]), pa.array([found], pa.list_(pa.int64())), pa.array([at])], names=["file", "split", "places", "end"])
 
 
-def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+_SCANNED = pa.schema([("file", pa.string()), ("split", pa.int64()), ("place", pa.int64()), ("header", pa.binary()), ("block", pa.binary()), ("rest", pa.binary()), ("tail", pa.int64()),
+                      ("total", pa.int64()), ("places", pa.list_(pa.int64())), ("successors", pa.list_(pa.int64())), ("exits", pa.list_(pa.int64()))])
+_COLUMNS = ("file string, split long, place long, header binary, block binary, rest binary, tail long, "
+            "total long, places array<long>, successors array<long>, exits array<long>")
+
+
+def _scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each piece, and behind those of a split one with the places and successors of its candidates and their exits from it."""
+
+    def split(key, places, successors, total):
+        at = {p: i for i, p in enumerate(places)}
+        exits = list(successors)
+        for i in range(len(places) - 1, -1, -1):
+            s = successors[i]
+            if 0 <= s < total:
+                exits[i] = exits[at[s]] if s in at else -1
+        return (*key, None, None, None, None, None, total, places, successors, exits)
+
+    def batch(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _SCANNED, strict=True)], schema=_SCANNED)
+
     rows: list[tuple] = []
-    names = ["file", "split", "place", "header", "block", "rest", "tail"]
-    kinds = [pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64()]
-    weight = 0
-    for file, split, place, piece in _walk(batches):
+    held, places, successors, total, weight = None, [], [], 0, 0
+    for file, at_split, place, piece in _walk(batches):
+        if (file, at_split) != held:
+            if held:
+                rows.append(split(held, places, successors, total))
+            held, places, successors = (file, at_split), [], []
         header, block = _header(piece)
         data = bytes(piece)
         cut = header + block if header else len(data)
-        rows.append((file, split, place, data[:header] if header else None, data[header:cut], data[cut:], block if header else -1))
+        rows.append((file, at_split, place, data[:header] if header else None, data[header:cut], data[cut:], block if header else -1, None, None, None, None))
+        places.append(place)
+        successors.append(place + len(_M) + header + block + len(GAP) if header else -1)
+        total = place + len(piece) + len(_M)
         weight += len(data)
         if weight > 4 << 20:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+            yield batch(rows)
             rows, weight = [], 0
-    if rows:
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+    if held:
+        yield batch([*rows, split(held, places, successors, total)])
 
 
-def chain(spark: SparkSession, folder: str) -> DataFrame:
+def chain(spark: SparkSession, scanned: DataFrame) -> DataFrame:
     """(file, split, place) of the true records: candidates that the chain from the start of their file reaches."""
-    splits = staged(spark, _pieces(spark, folder).mapInArrow(_candidates, "file string, split long, total long, places array<long>, successors array<long>, exits array<long>"))
+    splits = scanned.where("total is not null").select("file", "split", "total", "places", "successors", "exits")
     order = Window.partitionBy("file").orderBy("split")
     # the first piece of a file is what stands before its first magic: nothing. The first magic is at offset 0, so bases start there less one magic
     based = staged(spark, splits.select("file", "split", "total", (F.sum("total").over(order) - F.col("total") - len(_M)).alias("base")))
@@ -181,8 +177,12 @@ def chain(spark: SparkSession, folder: str) -> DataFrame:
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
     """file, header (text), payload (binary), payload_bytes and payload_hex (length and SHA-1 of the block) of every record."""
-    found = staged(spark, chain(spark, folder))
-    pieces = _pieces(spark, folder).mapInArrow(_parsed, "file string, split long, place long, header binary, block binary, rest binary, tail long")
+    # scanned once: the bounds of splits follow the number of executors, so a second scan could place the pieces otherwise
+    kept = staging_path(spark)
+    _pieces(spark, folder).mapInArrow(_scanned, _COLUMNS).write.option("compression", "zstd").parquet(kept)
+    scanned = spark.read.schema(_COLUMNS).parquet(kept)
+    found = staged(spark, chain(spark, scanned))
+    pieces = scanned.where("total is null").select("file", "split", "place", "header", "block", "rest", "tail")
     ready = pieces.where(F.col("tail") == F.octet_length("block")).withColumn("hex", F.sha1("block"))
     whole = ready.join(found, ["file", "split", "place"]).select("file", "header", F.col("block").alias("payload"), "hex", F.col("tail").alias("payload_bytes"))
     cut = pieces.where(F.col("tail") > F.octet_length("block"))

@@ -182,6 +182,18 @@ def test_warc_headers_have_no_bound(spark, tmp_path):
     assert {r.page_id: r.url for r in found} == {1: "u", 2: url, 3: "v"}
 
 
+def test_warc_records_outlast_a_change_of_splits(spark, tmp_path):
+    pages = spark.createDataFrame([(i, "u", f"page {i} " * 20) for i in range(60)], "page_id long, url string, html string")
+    archive = warc.write(spark, pages.coalesce(1), f"{tmp_path}/w")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
+    try:
+        records = warc.read(spark, archive)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "7000")
+        assert {r.page_id for r in warc.pages(records).collect()} == set(range(60))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 @pytest.mark.parametrize("cosine", [0.0, 0.75])
 def test_top_k_matches_brute_force(spark, monkeypatch, cosine):
     monkeypatch.setattr(topk, "COSINE", cosine)
