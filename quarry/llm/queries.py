@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, brown, chunk_dedup, decontaminate, line_dedup, ngram_join, token_files, topk, toxicity, warc
+from quarry.llm import alignment, bpe, brown, chunk_dedup, decontaminate, impact_search, line_dedup, mixture, ngram_join, token_files, topk, toxicity, warc
 from quarry.llm.words import crc_remainder
 
 QUERIES: dict = {}
@@ -127,3 +127,32 @@ def op2_repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
     size = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
     return found.select("doc_id", "n_bytes", F.size("repeated").cast("long").alias("n_repeated"), size("repeated").alias("repeated_bytes"),
                         size("removed").alias("removed_bytes"), "repeated", "removed")
+
+
+@query()
+def op11_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    encoded = alignment.encode(spark, table(spark, folder, "documents"), *paths)
+    return alignment.statistics(spark, encoded, *paths).withColumnRenamed("id", "doc_id")
+
+
+@query()
+def op12_source_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return mixture.mix(spark, table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+
+@query(f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS w FROM documents), k AS (SELECT r, doc_id, len(w) AS n FROM d WHERE len(w) > 0),
+c AS (SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_terms FROM k),
+tf AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM d) GROUP BY r, term), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+q AS (SELECT item_id, term, count(*) AS many FROM (SELECT item_id, unnest({_TERMS}) AS term FROM (SELECT DISTINCT item_id, text FROM benchmark)) GROUP BY item_id, term),
+s AS (SELECT item_id, k.doc_id, k.r, CAST(sum(many * CAST(floor(1000 * ln((2 * n_docs + 2) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+  FROM q JOIN df USING (term) JOIN tf USING (term) JOIN k USING (r), c GROUP BY item_id, k.doc_id, k.r)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0
+QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 10
+""")
+def op13_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    return impact_search.search(spark, table(spark, folder, "documents"), table(spark, folder, "benchmark"))
