@@ -21,11 +21,13 @@ rows and ids, null ids too, are kept, and each counts. Empty tables give no rows
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,18 +50,25 @@ class Names:
         digits = [f"{i} ".encode() for i in range(len(tokens))]
         self.digits, self.widths = np.frombuffer(b"".join(digits), np.uint8), np.array([len(d) for d in digits], np.int64)
         self.digits_at = np.cumsum(self.widths) - self.widths
+        self.packed = "<u2" if len(tokens) <= 1 << 16 else "<u4"
 
     def joined(self, ids: np.ndarray) -> np.ndarray:
         return self.data[W.ragged(self.starts[ids], self.sizes[ids])]
 
 
+class Small(bpe.Encoder):
+    """Remembers less: two tokenizers share a worker here."""
+
+    SLOTS, POOL = 1 << 18, 1 << 21
+
+
 class Bytewise:
     """A: a byte-level BPE file; its special tokens are plain text here."""
 
     def __init__(self, path: str):
         vocab = bpe.Vocabulary(path)
         vocab.special, vocab.library.encode_special_tokens = [], True
-        self.encoder = bpe.Encoder(vocab)
+        self.encoder = Small(vocab)
         byte = {name: b for b, name in enumerate(bpe.byte_names())}
         self.names = Names([bytes(byte[c] for c in name) if all(c in byte for c in name) else name.encode() for name in vocab.names])
 
@@ -68,7 +77,9 @@ class Bytewise:
 
 
 class Pieces:
-    """B: a sentencepiece model that puts a blank before each text."""
+    """B: a sentencepiece model that puts a blank before each text. Remembers what it has encoded, up to a bound."""
+
+    KNOWN = 1 << 17
 
     def __init__(self, path: str):
         from sentencepiece import SentencePieceProcessor
@@ -77,6 +88,7 @@ class Pieces:
         pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
         self.names = Names([bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace(BLANK, " ").encode() for i, p in enumerate(pieces)])
         self.alone = [self.model.piece_to_id(BLANK)]  # a blank with nothing behind it
+        self.known: dict[bytes, bytes] = {}
         self.splits = not any(BLANK in p.lstrip(BLANK) for p in pieces)
 
     def encode(self, chunk: W.Chunk) -> tuple[np.ndarray, np.ndarray]:
@@ -95,10 +107,15 @@ class Pieces:
         edges = np.append(starts, len(chunk.buf))
         runs = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(chunk.buf)]).dictionary_encode()
         distinct = runs.dictionary.to_pylist()
-        each = [np.array(x or self.alone, np.int32) for x in self.model.encode([r[1:].decode() for r in distinct], num_threads=1)]
-        sizes = np.array([len(x) for x in each])
+        new = [r for r in distinct if r not in self.known]
+        if len(self.known) > self.KNOWN:
+            self.known, new = {}, distinct
+        for r, ids in zip(new, self.model.encode([r[1:].decode() for r in new], num_threads=1), strict=True):
+            self.known[r] = array("i", ids or self.alone).tobytes()
+        each = [self.known[r] for r in distinct]
+        sizes = np.array([len(x) for x in each]) // 4
         which = runs.indices.to_numpy()
-        ids = np.concatenate(each)[W.ragged((np.cumsum(sizes) - sizes)[which], sizes[which])]
+        ids = np.frombuffer(b"".join(each), np.int32)[W.ragged((np.cumsum(sizes) - sizes)[which], sizes[which])]
         return ids, np.concatenate([[0], np.cumsum(sizes[which])])[np.searchsorted(starts, chunk.offsets)]
 
 
@@ -126,29 +143,38 @@ def _agree(names: Names, ids: np.ndarray, edges: np.ndarray, chunk: W.Chunk) ->
     return same
 
 
-def _kept(ids: np.ndarray, edges: np.ndarray, keep: np.ndarray) -> pa.ListArray:
-    counts = np.where(keep, np.diff(edges), 0)
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(ids[W.ragged(edges[:-1], counts)].astype(np.int32)))
+def _pack(names: Names, ids: np.ndarray, edges: np.ndarray, keep: np.ndarray) -> pa.Array:
+    packed = ids.astype(names.packed)
+    return pa.array([packed[x:y].tobytes() if ok else b"" for x, y, ok in zip(edges[:-1].tolist(), edges[1:].tolist(), keep.tolist(), strict=True)], pa.binary())
+
+
+def _unpack(column: pa.Array, names: Names) -> tuple[np.ndarray, np.ndarray]:
+    """All ids in turn, and where those of each text begin (one more than texts)."""
+    at = np.frombuffer(column.buffers()[1], np.int32)[column.offset: column.offset + len(column) + 1].astype(np.int64)
+    data = column.buffers()[2]
+    kind = np.dtype(names.packed)
+    ids = np.frombuffer(data, np.uint8)[at[0]: at[-1]].view(kind) if data is not None else np.zeros(0, kind)
+    return ids.astype(np.int64), (at - at[0]) // kind.itemsize
 
 
 def encode(spark: SparkSession, docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A stored table: row (a number of its own), id, a and b (ids of both, empty where the text has no tokens)."""
+    """A stored table: row (a number of its own), id, a and b (ids of both, little-endian; empty where the text has no tokens)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one, two = tokenizers_of(path_a, path_b)
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            for chunk in W.chunks(batch.column(1)):
+            for chunk in W.chunks(batch.column(1), W.CHUNK // 2):
                 told = with_blanks(chunk)
                 (a, of_a), (b, of_b) = one.encode(told), two.encode(told)
                 keep = _agree(one.names, a, of_a, told) & _agree(two.names, b, of_b, told)
                 n = chunk.last - chunk.first
-                yield pa.RecordBatch.from_arrays([pa.array(row + np.arange(n)), batch.column(0).slice(chunk.first, n), _kept(a, of_a, keep), _kept(b, of_b, keep)],
+                yield pa.RecordBatch.from_arrays([pa.array(row + np.arange(n)), batch.column(0).slice(chunk.first, n), _pack(one.names, a, of_a, keep), _pack(two.names, b, of_b, keep)],
                                                  names=["row", "id", "a", "b"])
                 row += n
 
     kind = docs.schema[id_col].dataType.simpleString()
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"row long, id {kind}, a array<int>, b array<int>")
+    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"row long, id {kind}, a binary, b binary")
     folder = staging_path(spark, "alignment")
     out.write.option("compression", "zstd").parquet(folder)
     return spark.read.schema(out.schema).parquet(folder)
@@ -157,10 +183,9 @@ def encode(spark: SparkSession, docs: DataFrame, path_a: str, path_b: str, id_co
 class Aligned:
     """Groups and links of a batch of encoded texts. Texts stand end to end, so their tokens never overlap."""
 
-    def __init__(self, a: pa.ListArray, b: pa.ListArray, of_a: Names, of_b: Names):
+    def __init__(self, a: pa.Array, b: pa.Array, of_a: Names, of_b: Names):
         self.names = of_a, of_b
-        self.ids = [x.flatten().to_numpy().astype(np.int64) for x in (a, b)]
-        self.edges = [np.concatenate([[0], np.cumsum(x.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64) for x in (a, b)]
+        self.ids, self.edges = zip(_unpack(a, of_a), _unpack(b, of_b), strict=True)
         self.n = len(a)
         self.ends = [np.cumsum(names.sizes[ids]) for names, ids in zip(self.names, self.ids, strict=True)]
         self.starts = [ends - names.sizes[ids] for names, ids, ends in zip(self.names, self.ids, self.ends, strict=True)]
@@ -221,7 +246,7 @@ def groups(encoded: DataFrame, path_a: str, path_b: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one, two = tokenizers_of(path_a, path_b)
-        for batch in batches:
+        for batch in (part for whole in batches for part in _parts(whole)):
             x = Aligned(batch.column(1), batch.column(2), one.names, two.names)
             total = int(x.ends[0][-1]) if len(x.ends[0]) else 0
             at = np.concatenate([[0], x.ends[0]])[x.edges[0]]
@@ -234,11 +259,11 @@ def groups(encoded: DataFrame, path_a: str, path_b: str) -> DataFrame:
     return encoded.select("id", "a", "b").mapInArrow(run, f"id {encoded.schema['id'].dataType.simpleString()}, groups array<struct<start: long, end: long, a: array<int>, b: array<int>>>")
 
 
-def _parts(batch: pa.RecordBatch, tokens: int = 1 << 19) -> Iterator[pa.RecordBatch]:
-    """Slices of whole texts of about so many tokens of A; columns row, a, b or more, a before b."""
-    edges, at = np.cumsum(batch.column(1).value_lengths().to_numpy(zero_copy_only=False)), 0
+def _parts(batch: pa.RecordBatch, size: int = 1 << 18) -> Iterator[pa.RecordBatch]:
+    """Slices of whole texts of about so many bytes of ids; columns row, a, b or more."""
+    edges, at = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False).astype(np.int64)), 0
     while at < batch.num_rows:
-        to = max(at + 1, int(np.searchsorted(edges, (edges[at - 1] if at else 0) + tokens, "right")))
+        to = max(at + 1, int(np.searchsorted(edges, (edges[at - 1] if at else 0) + size, "right")))
         yield batch.slice(at, to - at)
         at = to
 
