@@ -76,13 +76,13 @@ def _sequence(values: np.ndarray, first: np.ndarray, end: int) -> np.ndarray:
     return out
 
 
-def _pairs(batches: Iterator[pa.RecordBatch], classed: Listed) -> Iterator[pa.RecordBatch]:
-    """Counts of adjacent words: classed words by number, others by CLASSED + shape, the end by CLASSED + SHAPES."""
+def _pairs(batches: Iterator[pa.RecordBatch], classed: Listed, bound: int) -> Iterator[pa.RecordBatch]:
+    """Counts of adjacent words: classed words by number, others by bound + shape, the end by bound + SHAPES."""
     for batch in batches:
         for chunk in W.chunks(batch.column(0)):
             words, shape, first = _tokens(chunk)
             at = classed.places(words)
-            line = _sequence(np.where(at >= 0, at, CLASSED + shape), first, CLASSED + SHAPES)
+            line = _sequence(np.where(at >= 0, at, bound + shape), first, bound + SHAPES)
             found, n = np.unique(line[:-1] << 20 | line[1:], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array((found >> 20).astype(np.int32)), pa.array((found & 0xFFFFF).astype(np.int32)), pa.array(n)], names=["u", "v", "n"])
 
@@ -117,7 +117,7 @@ def best_class(left: np.ndarray, right: np.ndarray, own: int, now: int, matrix:
     m[:, now] -= left
     m[now, :] -= right
     m[now, now] -= own
-    rows, columns = m.sum(1), m.sum(0)
+    rows, columns = m.sum(1) + left, m.sum(0) + right  # the word's neighbours keep their classes, whichever the word takes
     many = left.sum() + right.sum() + own
     before, after = left[:, None], right[None, :]
     gain = (_xlogx(m + before) - _xlogx(m)).sum(0) + (_xlogx(m + after) - _xlogx(m)).sum(1)
@@ -130,9 +130,9 @@ def best_class(left: np.ndarray, right: np.ndarray, own: int, now: int, matrix:
     return best if gain[best] > gain[now] + 1e-9 else now
 
 
-def exchange(spark: SparkSession, around: DataFrame, n_words: int) -> np.ndarray:
+def exchange(spark: SparkSession, around: DataFrame, n_words: int, bound: int) -> np.ndarray:
     """Class of each classed word, then of the shapes and the end, which stay where they are."""
-    classes = np.concatenate([np.arange(CLASSED) % CLASSES, CLASSES + np.arange(SHAPES + 1)])
+    classes = np.concatenate([np.arange(bound) % CLASSES, CLASSES + np.arange(SHAPES + 1)])
     for turn in range(ROUNDS):
         matrix = _matrix(spark, around, classes)
         sent = spark.sparkContext.broadcast((classes, matrix))
@@ -142,7 +142,7 @@ def exchange(spark: SparkSession, around: DataFrame, n_words: int) -> np.ndarray
             for batch in batches:
                 words, moved = [], []
                 for i, word in enumerate(batch.column(0).to_pylist()):
-                    if word >= CLASSED or (word * 0x9E3779B1 >> 7) % 2 != turn % 2:
+                    if word >= bound or (word * 0x9E3779B1 >> 7) % 2 != turn % 2:
                         continue
                     sums, own = [], 0
                     for side in (1, 3):
@@ -200,25 +200,26 @@ def transitions(counts: np.ndarray) -> np.ndarray:
     return np.log10(mixed(n3, two[None, :, :]))
 
 
-def score(spark: SparkSession, docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(spark: SparkSession, docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+          listed_words: int = LISTED, classed_words: int = CLASSED) -> DataFrame:
     """Per document: id, n_tokens, n_known, train_tokens, base_score, score. train: the rows to learn from."""
     learn = train.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     counts = staged(spark, learn.mapInArrow(_counts, "word long, shape int, n long").groupBy("word").agg(F.first("shape").alias("shape"), F.sum("n").alias("n")))
     n_docs = learn.count()
-    top = counts.orderBy(F.desc("n"), "word").limit(LISTED).toArrow()
+    top = counts.orderBy(F.desc("n"), "word").limit(listed_words).toArrow()
     words, n, shape = (top[c].to_numpy() for c in ("word", "n", "shape"))
     by_shape = {r.shape: r for r in counts.groupBy("shape").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()}
     total, kinds = sum(r.n for r in by_shape.values()) + n_docs, sum(r.v for r in by_shape.values()) + (n_docs > 0)
-    classed = Listed(words[:CLASSED])
-    many = n[:CLASSED][np.argsort(words[:CLASSED])]
+    classed = Listed(words[:classed_words])
+    many = n[:classed_words][np.argsort(words[:classed_words])]
     sent = spark.sparkContext.broadcast(classed)
-    pairs = staged(spark, learn.mapInArrow(lambda it: _pairs(it, sent.value), "u int, v int, n long").groupBy("u", "v").agg(F.sum("n").alias("n")))
-    after = pairs.groupBy(F.col("u").alias("word")).agg(F.collect_list(F.struct("v", "n")).alias("x"))  # a word has CLASSED + SHAPES + 1 neighbours at most
+    pairs = staged(spark, learn.mapInArrow(lambda it: _pairs(it, sent.value, classed_words), "u int, v int, n long").groupBy("u", "v").agg(F.sum("n").alias("n")))
+    after = pairs.groupBy(F.col("u").alias("word")).agg(F.collect_list(F.struct("v", "n")).alias("x"))  # a word has classed_words + SHAPES + 1 neighbours at most
     before = pairs.groupBy(F.col("v").alias("word")).agg(F.collect_list(F.struct("u", "n")).alias("y"))
     empty = F.array().cast("array<int>"), F.array().cast("array<bigint>")
     around = staged(spark, after.join(before, "word", "full").select(
         "word", F.coalesce("x.v", empty[0]).alias("after"), F.coalesce("x.n", empty[1]).alias("n_after"), F.coalesce("y.u", empty[0]).alias("before"), F.coalesce("y.n", empty[1]).alias("n_before")))
-    classes = exchange(spark, around, len(classed.words))
+    classes = exchange(spark, around, len(classed.words), classed_words)
     discard(spark, pairs, around)
     cells = np.zeros(_K**3, np.int64)
     for cell, m in learn.mapInArrow(lambda it: _trigrams(it, sent.value, classes), "cell long, n long").groupBy("cell").agg(F.sum("n")).collect():  # _K ** 3 rows at most
@@ -227,12 +228,12 @@ def score(spark: SparkSession, docs: DataFrame, train: DataFrame, id_col: str =
     np.add.at(mass, classes[: len(many)], many)
     np.add.at(size, classes[: len(many)], 1)
     for s in range(SHAPES):
-        own = shape[:CLASSED] == s
+        own = shape[:classed_words] == s
         row = by_shape.get(s)
-        mass[CLASSES + s] = (row.n if row else 0) - n[:CLASSED][own].sum()
+        mass[CLASSES + s] = (row.n if row else 0) - n[:classed_words][own].sum()
         size[CLASSES + s] = (row.v if row else 0) - own.sum() + 1
-    class_of = np.where(np.arange(len(words)) < CLASSED, -1, CLASSES + shape)
-    class_of[: len(classed.words)] = classes[classed.places(words[:CLASSED])]
+    class_of = np.where(np.arange(len(words)) < classed_words, -1, CLASSES + shape)
+    class_of[: len(classed.words)] = classes[classed.places(words[:classed_words])]
     emit = np.log10((n + 0.5) / (mass[class_of] + 0.5 * size[class_of])) if len(words) else np.zeros(0)
     base = np.log10(n + 0.5)
     listed = Listed(words, emit=emit, base=base)
@@ -272,7 +273,7 @@ def score(spark: SparkSession, docs: DataFrame, train: DataFrame, id_col: str =
     partial = staged(spark, docs.select(F.col(id_col), F.col(text_col)).mapInArrow(
         sums, f"row long, id {kind}, n_tokens long, n_known long, base double, score double, rare array<long>, shapes array<int>"))
     rare = partial.select("row", F.explode(F.arrays_zip("rare", "shapes")).alias("w")).select("row", F.col("w.rare").alias("word"), F.col("w.shapes").alias("of"))
-    rarer = counts.select("word", "n").where(F.col("n") <= int(n[-1])) if len(n) == LISTED else counts.select("word", "n").where(F.lit(False))
+    rarer = counts.select("word", "n").where(F.col("n") <= int(n[-1])) if len(n) == listed_words else counts.select("word", "n").where(F.lit(False))
     met = rare.join(rarer, "word", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     tail = F.element_at(F.array(*(F.lit(float(x)) for x in shape_floor)), F.col("of") + 1)
     logs = F.log10(F.col("n") + 0.5)

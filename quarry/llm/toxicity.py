@@ -33,11 +33,13 @@ from quarry.llm.line_dedup import characters
 
 SAMPLE, LANDMARKS, NEGATIVES, ROUNDS, DECAY, COST = 4000, 512, 12000, 4, 0.8, 300.0
 #: Places of the further characters of a subsequence, after its first.
-STEPS = sorted([*combinations(range(1, 6), 2), *combinations(range(1, 6), 3)], key=lambda s: s[-1])
+STEPS = sorted([*combinations(range(1, 6), 2), *combinations(range(1, 6), 3), (2, 4, 6)], key=lambda s: s[-1])
+BLOCK = 100  # words of which the driver holds the dense rows at once
 LONGEST = 400  # characters of a word that are compared at once; longer ones are cut into overlapping stretches
 _U = np.uint64
 _MANY = np.random.default_rng(5).integers(1, 1 << 63, 8, dtype=np.uint64) * _U(2) + _U(1)
 _BEGIN, _END = 2, 3
+BIAS = -1.0
 
 
 def _fold(points: np.ndarray) -> np.ndarray:
@@ -131,26 +133,26 @@ def _features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _kernel(words: list[bytes], keys: np.ndarray, table: np.ndarray) -> np.ndarray:
     """Kernel values of words against the landmarks; table: landmarks by their subsequences (keys)."""
     out = np.zeros((len(words), table.shape[1]))
-    for at in range(0, len(words), 1000):
-        word, h, value = _features(words[at: at + 1000])
+    for at in range(0, len(words), BLOCK):
+        word, h, value = _features(words[at: at + BLOCK])
         place = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
         match = keys[place] == h
-        dense = np.zeros((min(1000, len(words) - at), len(keys)), np.float32)
+        dense = np.zeros((min(BLOCK, len(words) - at), len(keys)), np.float32)
         np.maximum.at(dense, (word[match], place[match]), value[match])
-        out[at: at + 1000] = dense @ table
+        out[at: at + BLOCK] = dense @ table
     return out
 
 
 def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Squared hinge loss and half the squared norm, by Newton steps with halving."""
-    x = np.hstack([x, np.ones((len(x), 1))])
+    """Squared hinge loss and half the squared norm, by Newton steps with halving. The offset is fixed: what shares nothing with any
+    landmark stands at BIAS, on the clean side."""
     beta = np.zeros(x.shape[1])
 
     def loss(b):
-        return 0.5 * b @ b + (weight * np.maximum(0, 1 - y * (x @ b)) ** 2).sum()
+        return 0.5 * b @ b + (weight * np.maximum(0, 1 - y * (x @ b + BIAS)) ** 2).sum()
 
     for _ in range(40):
-        slack = 1 - y * (x @ beta)
+        slack = 1 - y * (x @ beta + BIAS)
         on = slack > 0
         gradient = beta - 2 * x[on].T @ (weight[on] * y[on] * slack[on])
         step = np.linalg.solve(np.eye(len(beta)) + 2 * (x[on] * weight[on, None]).T @ x[on], gradient)
@@ -163,8 +165,12 @@ def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return beta
 
 
+def _dotted(word: bytes) -> bytes | None:
+    return b".".join(bytes([b]) for b in word) if word.isascii() and 3 < len(word) < 30 else None
+
+
 def _fit_words(positive: list[bytes], negative: list[bytes]) -> Model:
-    gaps = [b".".join(bytes([b]) for b in w) for w in positive if w.isascii() and 3 < len(w) < 30]
+    gaps = [g for g in map(_dotted, positive) if g]
     spaced = [w[: len(w) // 2] + b"*" + w[len(w) // 2:] for w in positive if w.isascii() and 3 < len(w) < 30]
     good = list(dict.fromkeys([*positive, *gaps, *spaced]))
     marks = list(dict.fromkeys([*positive[: LANDMARKS // 2], *negative[: LANDMARKS // 2]]))
@@ -180,7 +186,7 @@ def _fit_words(positive: list[bytes], negative: list[bytes]) -> Model:
     x = np.vstack([_kernel(good, keys, table), _kernel(negative, keys, table)]) @ whiten
     y = np.concatenate([np.ones(len(good)), -np.ones(len(negative))])
     beta = _svm(x, y, np.where(y > 0, COST * max(1.0, 0.1 * len(negative) / len(good)), COST))
-    return Model(keys, (table @ (whiten @ beta[:-1])).astype(np.float64), float(beta[-1]))
+    return Model(keys, (table @ (whiten @ beta)).astype(np.float64), BIAS)
 
 
 def fit(texts: list[str | None], toxic: list[int]) -> Model | None:
@@ -231,7 +237,11 @@ def fit(texts: list[str | None], toxic: list[int]) -> Model | None:
         worth = worth + 0.3 * np.clip(odds, -2, 4)
     raw = np.concatenate([model.values(*_joined(names[at: at + 50000])) for at in range(0, len(names), 50000)])
     top = np.array([raw[d].max() if len(d) else -1.0 for d in held])
-    model.slope, model.shift = _curve(top, np.array(toxic, bool))
+    # the curve also sees each toxic text as it would be with dots in its worst word
+    worst = [int(held[d][np.argmax(raw[held[d]])]) for d in toxic_ids if len(held[d])]
+    dotted = [g for g in (_dotted(names[w]) for w in worst) if g]
+    more = model.values(*_joined(dotted)) if dotted else np.zeros(0)
+    model.slope, model.shift = _curve(np.concatenate([top, more]), np.concatenate([np.array(toxic, bool), np.ones(len(more), bool)]))
     model.name = uuid.uuid4().hex
     return model
 

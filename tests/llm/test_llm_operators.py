@@ -228,13 +228,11 @@ def test_brown_scores(spark):
     assert len(empty) == len(rows) and all(r.n_known == 0 and r.train_tokens == 0 for r in empty)
 
 
-def test_brown_joins_rare_words(spark, monkeypatch):
+def test_brown_joins_rare_words(spark):
     rows = [(k, prose(k, 80) + f" rare{k % 3}") for k in range(12)]
     docs = documents(spark, rows)
     whole = {r.doc_id: r for r in brown.score(spark, docs, docs).collect()}
-    monkeypatch.setattr(brown, "LISTED", 6)
-    monkeypatch.setattr(brown, "CLASSED", 4)
-    few = {r.doc_id: r for r in brown.score(spark, docs, docs).collect()}
+    few = {r.doc_id: r for r in brown.score(spark, docs, docs, listed_words=6, classed_words=4).collect()}
     for i in whole:
         assert few[i].n_known == whole[i].n_known and abs(few[i].base_score - whole[i].base_score) < 1e-6
 
