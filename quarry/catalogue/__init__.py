@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarry.catalogue import code, relations, search, textual
+from quarry.catalogue import code, relations, search, stored, textual
 from quarry.catalogue.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "code", "relations", "search", "textual"]
+__all__ = ["ORACLES", "QUERIES", "code", "relations", "search", "stored", "textual"]

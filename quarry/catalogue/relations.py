@@ -12,6 +12,7 @@ from quarry.operators import graph as G
 from quarry.operators import resolve as R
 from quarry.operators.diff import changed_files
 from quarry.operators.testlink import strongest
+from quarry.session import staged
 
 AS_OF = "2002-01-01"
 
@@ -71,14 +72,23 @@ SELECT node, min(hops)::BIGINT AS hops FROM r GROUP BY 1"""
 def callers_two_hops(spark, folder):
     """Callers within two hops."""
     target = table(spark, folder, "part").where("p_partkey = 1").select(F.col("p_partkey").alias("node"))
-    return longs(G.callers_within(part_edges(spark, folder), target, 2), "hops")
+    return longs(G.callers_within(staged(spark, part_edges(spark, folder)), target, 2), "hops")
 
 
 @query(_closure_sql(4))
 def callers_four_hops(spark, folder):
     """Bounded transitive closure at its deepest, target on cycles included."""
     target = table(spark, folder, "part").where("p_partkey = 1").select(F.col("p_partkey").alias("node"))
-    return longs(G.callers_within(part_edges(spark, folder), target, 4), "hops")
+    return longs(G.callers_within(staged(spark, part_edges(spark, folder)), target, 4), "hops")
+
+
+@query(f"""WITH {EDGES_SQL}, one AS (SELECT dst AS target, src AS node, 1 AS hops FROM ed),
+two AS (SELECT target, node, hops FROM one UNION ALL SELECT one.target, ed.src, 2 FROM one JOIN ed ON ed.dst = one.node)
+SELECT target, node, min(hops)::BIGINT AS hops FROM two GROUP BY 1, 2""")
+def callers_of_every_part(spark, folder):
+    """What a change of each thing would touch, for all of them in one run."""
+    parts = table(spark, folder, "part").select(F.col("p_partkey").alias("target"), F.col("p_partkey").alias("node"))
+    return longs(G.callers_within(staged(spark, part_edges(spark, folder)), parts, 2, ["target"], stage=lambda df: staged(spark, df)), "hops")
 
 
 RESOLVE_SQL = """sy AS (SELECT p_partkey AS k, concat(p_brand, '/f', p_size) AS path, p_brand AS folder, p_type AS lang, p_name AS name FROM part),
@@ -102,8 +112,8 @@ an AS (SELECT wa.path, wa.lang, wa.name, pa.n IS NOT NULL AS known,
   LEFT JOIN pd ON pd.lang = wa.lang AND pd.name = wa.name AND pd.folder = string_split(wa.path, '/')[1])"""
 
 
-def _part_symbols(spark: SparkSession, folder: str):
-    part = table(spark, folder, "part")
+def part_symbols(spark: SparkSession, folder: str, part: DataFrame | None = None):
+    part = table(spark, folder, "part") if part is None else part
     named = part.select(
         F.lit("r").alias("repo"), F.col("p_partkey").alias("ord"), F.concat("p_brand", F.lit("/f"), "p_size").alias("path"),
         F.col("p_type").alias("lang"), F.col("p_name").alias("name"), F.col("p_name").alias("local_qname"))
@@ -124,7 +134,7 @@ def _part_symbols(spark: SparkSession, folder: str):
 @query(f"WITH {RESOLVE_SQL} SELECT path, lang, name, dst_path, known FROM an")
 def resolve_priority(spark, folder):
     """Name binding by file, import, folder and uniqueness."""
-    symbols, imports, refs, files = _part_symbols(spark, folder)
+    symbols, imports, refs, files = part_symbols(spark, folder)
     wanted = refs.select("repo", "path", "lang", F.col("target_name").alias("name")).distinct()
     return R.resolve_names(wanted, symbols, imports, files).select("path", "lang", "name", "dst_path", "known")
 
@@ -136,7 +146,7 @@ SELECT count(*) AS total, count(dst_path) AS resolved, count(*) FILTER (dst_path
  round(CASE WHEN count(*) FILTER (dst_path IS NOT NULL OR known) = 0 THEN 0 ELSE count(*) FILTER (dst_path IS NULL AND known)::DOUBLE / count(*) FILTER (dst_path IS NOT NULL OR known) END, 6) AS unresolved_ratio FROM b""")
 def resolution_stats(spark, folder):
     """A5: how many references were bound."""
-    symbols, imports, refs, files = _part_symbols(spark, folder)
+    symbols, imports, refs, files = part_symbols(spark, folder)
     stats = R.resolution_stats(R.bind(refs, symbols, imports, files))
     return stats.drop("repo").withColumn("unresolved_ratio", F.round("unresolved_ratio", 6))
 
@@ -145,7 +155,7 @@ def resolution_stats(spark, folder):
 SELECT DISTINCT path AS src_path, dst_path FROM an WHERE dst_path IS NOT NULL AND dst_path <> path""")
 def imports_derived(spark, folder):
     """File dependencies derived from bound references."""
-    symbols, imports, refs, files = _part_symbols(spark, folder)
+    symbols, imports, refs, files = part_symbols(spark, folder)
     return R.file_imports(R.edges(R.bind(refs, symbols, imports, files))).select("src_path", "dst_path")
 
 
@@ -159,6 +169,20 @@ def symbol_lookup_suffix(spark, folder):
     return G.find_symbol(symbols, "hot ring").select(F.col("id").alias("p_partkey"), F.col("name").alias("p_name"))
 
 
+@query("""WITH s AS (SELECT p_partkey AS id, p_name AS name, concat(p_brand, '.', replace(p_name, ' ', '.')) AS qname FROM part),
+q AS (SELECT DISTINCT unnest([p_name, string_split(p_name, ' ')[-1], concat(p_brand, '.', replace(p_name, ' ', '.')), p_type]) AS name FROM part),
+k AS (SELECT unnest(list_append(list_transform(range(1, len(string_split(qname, '.')) + 1), lambda i: array_to_string(string_split(qname, '.')[i:], '.')), name)) AS key, id, qname FROM s),
+b AS (SELECT key, arg_min(id, (length(qname), qname, id::VARCHAR)) AS id FROM k GROUP BY 1)
+SELECT q.name, b.id FROM q LEFT JOIN b ON b.key = q.name""")
+def symbol_lookup_batch(spark, folder):
+    """A table of names looked up at once, among them last words, qualified names and names that nothing has."""
+    part = table(spark, folder, "part")
+    qname = F.concat_ws(".", "p_brand", F.replace("p_name", F.lit(" "), F.lit(".")))
+    symbols = part.select(F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("name"), qname.alias("qname"), F.lit("").alias("path"))
+    names = part.select(F.explode(F.array("p_name", F.element_at(F.split("p_name", " "), -1), qname, "p_type")).alias("name"))
+    return longs(G.find_symbols(G.suffix_table(symbols), names), "id")
+
+
 @query("""SELECT p_brand, array_to_string(list_sort(list(DISTINCT p_name))[1:12], ',') AS siblings FROM part GROUP BY 1""")
 def siblings_slice(spark, folder):
     """Distinct member names of each container, first twelve."""

@@ -109,11 +109,11 @@ def _occurrences(array: str, word: str) -> Column:
     return F.size(F.filter(array, lambda w: w == word)).cast("double")
 
 
-def _idf(n: Column, df: Column) -> Column:
+def idf(n: Column, df: Column) -> Column:
     return F.ln(F.lit(1.0) + (n - df + 0.5) / (df + 0.5))
 
 
-def _saturated(tf: Column, length: Column, average: Column) -> Column:
+def saturated(tf: Column, length: Column, average: Column) -> Column:
     return tf / (tf + F.lit(BM25_K1) * (F.lit(1 - BM25_B) + F.lit(BM25_B) * length / average))
 
 
@@ -137,7 +137,7 @@ def bm25_scan(df: DataFrame, key: str, text: str, terms: list[str], stage=lambda
         *[F.count_if(F.col(f"tf{i}") > 0).cast("double").alias(f"df{i}") for i in range(len(wanted))]).alias("s")).scalar()
     score = F.lit(0.0)
     for i in range(len(wanted)):
-        score = score + _idf(stats["n"], stats[f"df{i}"]) * _saturated(F.col(f"tf{i}"), F.col("dl"), stats["avgdl"])
+        score = score + idf(stats["n"], stats[f"df{i}"]) * saturated(F.col(f"tf{i}"), F.col("dl"), stats["avgdl"])
     matches = F.lit(False)
     for i in range(len(wanted)):
         matches = matches | (F.col(f"tf{i}") > 0)
@@ -146,7 +146,9 @@ def bm25_scan(df: DataFrame, key: str, text: str, terms: list[str], stage=lambda
 
 def postings(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     """(keys..., term, tf, dl): the stored form of the full-text index."""
-    each = df.select(*keys, F.size(words(F.col(text))).cast("int").alias("dl"), F.explode(words(F.col(text))).alias("term"))
+    # The words are taken in a step of their own: beside the explode they would be taken again for every word.
+    cut = df.select(*keys, words(F.col(text)).alias("w"))
+    each = cut.select(*keys, F.size("w").cast("int").alias("dl"), F.explode("w").alias("term"))
     return each.groupBy(*keys, "term").agg(F.count(F.lit(1)).cast("int").alias("tf"), F.first("dl").alias("dl"))
 
 
@@ -155,7 +157,7 @@ def bm25_postings(post: DataFrame, keys: list[str], terms: list[str], total: flo
     wanted = sorted({t.lower() for t in terms})
     mine = post.where(F.col("term").isin(wanted))
     frequency = mine.groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("df"))
-    part = _idf(F.lit(float(total)), F.col("df")) * _saturated(
+    part = idf(F.lit(float(total)), F.col("df")) * saturated(
         F.col("tf").cast("double"), F.col("dl").cast("double"), F.lit(float(average or 1.0)))
     return mine.join(frequency, "term").groupBy(*keys).agg(F.sum(part).alias("score"))
 

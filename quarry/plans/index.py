@@ -14,13 +14,14 @@ from quarry.functions.vectors import HashedFeatures
 from quarry.operators import resolve as R
 from quarry.operators.cochange import mine_history
 from quarry.operators.diff import changed_files
+from quarry.operators.graph import suffix_table
 from quarry.operators.ranking import postings, words
 from quarry.operators.testlink import test_links
 from quarry.plans.chunk import chunks
 from quarry.plans.extract import extract
 from quarry.sources import git
 from quarry.sources.tree import scan_tree
-from quarry.sources.warehouse import TERM_BUCKETS, Warehouse
+from quarry.sources.warehouse import TERM_BUCKETS, Warehouse, shelves_for
 
 
 @dataclass
@@ -58,8 +59,9 @@ def unique_symbols(symbols: DataFrame) -> DataFrame:
 
 
 def index_repo(spark: SparkSession, warehouse: Warehouse, root: str, repo: str | None = None, only: str | None = None,
-               force: bool = False, embedder=None, as_of: datetime | None = None) -> IndexStats:
-    """Bring the stored index of a tree up to date. `as_of` fixes the clock that co-change decay is measured from."""
+               force: bool = False, embedder=None, as_of: datetime | None = None, shelves: int | None = None) -> IndexStats:
+    """Bring the stored index of a tree up to date. `as_of` fixes the clock that co-change decay is measured from; `shelves` how many
+    parts a new repository's rows are dealt into (by default as many as its files ask for), of which a later run rewrites only those it changes."""
     root = os.path.realpath(root) if ":" not in root else root
     repo = repo or os.path.basename(root.rstrip("/"))
     embedder = embedder or HashedFeatures()
@@ -72,7 +74,7 @@ def index_repo(spark: SparkSession, warehouse: Warehouse, root: str, repo: str |
     gen = warehouse.next_generation(repo)
 
     found = scan_tree(spark, root, repo, only)
-    before = warehouse.read("files", repo)
+    before = warehouse.read("files", repo)  # as published, until this run publishes
     diff = changed_files(found.drop("text"), before.select("path", F.col("sha256").alias("old_sha256"), F.col("file_gen")), force)
     if only:
         # Outside the subtree nothing was looked at, so nothing is stale there.
@@ -85,6 +87,7 @@ def index_repo(spark: SparkSession, warehouse: Warehouse, root: str, repo: str |
     stats.files_total = stats.files_indexed + stats.files_skipped
     stats.files_pruned = counts.get("stale", 0) if only is None else 0
 
+    shelves = known["shelves"] if known else shelves or shelves_for(stats.files_total)
     changed = diff.where(F.col("status") == "changed").select("path")
     work = found.join(changed, "path", "left_semi")
     code, data = work.where(~F.col("is_data")), work.where("is_data")
@@ -97,10 +100,11 @@ def index_repo(spark: SparkSession, warehouse: Warehouse, root: str, repo: str |
 
     def publish(files_gen: int, edges_gen: int, n_docs: int, total_words: int) -> None:
         record = [(files_gen, edges_gen, gen, root, embedder.name, embedder.dim, git.head(root) if history else None,
-                   history, as_of, n_docs, total_words)]
+                   history, as_of, n_docs, total_words, shelves)]
         schema = ("files_gen long, edges_gen long, history_gen long, root string, embedder string, dim int, commit string, "
-                  "has_history boolean, indexed_at timestamp, n_docs long, total_words long")
+                  "has_history boolean, indexed_at timestamp, n_docs long, total_words long, shelves int")
         warehouse.append("repos", spark.createDataFrame(record, schema), repo, gen)
+        warehouse.sweep(repo)
 
     if known and not stats.files_indexed and not stats.files_pruned:
         if history:
@@ -118,38 +122,54 @@ def index_repo(spark: SparkSession, warehouse: Warehouse, root: str, repo: str |
         df.write.mode("overwrite").parquet(f"{staging}/{name}")
         return spark.read.parquet(f"{staging}/{name}")
 
+    # Changed and stale files leave their shelves; what else stands there moves along.
+    gone = stored(diff.where(F.col("status") != "unchanged").select("path"), "gone")
+    touched = warehouse.touched(gone, shelves)
+
+    def replaced(table: str, rows: DataFrame, **options) -> DataFrame:
+        """Rows of the changed files as written."""
+        warehouse.replace(table, rows, gone, repo, gen, shelves, touched, **options)
+        return warehouse.written(table, repo, gen).join(gone, "path", "left_semi")
+
     out = extract(code, stage=lambda df: stored(df, "entities"))
-    symbols = with_identity(out["symbols"], code)
-    warehouse.append("symbols", symbols, repo, gen)
-    warehouse.append("refs", out["refs"], repo, gen)
-    warehouse.append("imports", out["imports"], repo, gen)
-    fresh = warehouse.written("symbols", repo, gen)
+    fresh = replaced("symbols", with_identity(out["symbols"], code), key="id", order="ord")
+    replaced("refs", out["refs"])
+    replaced("imports", out["imports"])
     made = chunks(code, data, fresh, out["parsed"])
     # Texts of similar length share a batch.
     sized = made.repartition("path").sortWithinPartitions(F.length("text"))
-    warehouse.append("chunks", embedder.embed(sized), repo, gen)
-    new_chunks = warehouse.written("chunks", repo, gen)
+    new_chunks = replaced("chunks", embedder.embed(sized))
     index = postings(new_chunks, ["id", "path"], "text")
-    warehouse.append("postings", index.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(TERM_BUCKETS)).cast("int")), repo, gen)
+    replaced("postings", index.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(TERM_BUCKETS)).cast("int")))
 
     # Snapshot of every live file and the generation its rows live in.
     lines = out["parsed"].select("path", "loc")
     now = work.join(lines, "path", "left").select(
-        "path", F.lit(gen).cast("long").alias("file_gen"), "lang", "is_data", "is_test", "sha256", "size",
+        "path", "lang", "is_data", "is_test", "sha256", "size",
         F.coalesce("loc", F.lit(0)).alias("loc"))
     same = before.join(diff.where(F.col("status") == "unchanged").select("path"), "path", "left_semi")
     if only:
         same = same.unionByName(kept_outside)
-    warehouse.append("files", now.unionByName(same.select(*now.columns)), repo, gen)
+    warehouse.snapshot(now, same, repo, gen, shelves, touched)
 
     # Repository-wide relations see the new snapshot.
     files = warehouse.written("files", repo, gen)
     current = lambda table: warehouse.live(table, repo, gen)
     all_symbols, all_refs, all_imports = current("symbols"), current("refs"), current("imports")
     code_files = files.where(~F.col("is_data")).select("repo", "path", "is_test")
-    bound = stored(R.bind(all_refs, all_symbols, all_imports, code_files), "bound")
+    changed_refs = all_refs.join(gone, "path", "left_semi")
+    if known and not force:
+        before_files = before.where(~F.col("is_data")).select("repo", "path")
+        answers = R.rebind(warehouse.read("bindings", repo), gone.withColumn("repo", F.lit(repo)), changed_refs,
+                           warehouse.read("symbols", repo).join(gone, "path", "left_semi"), fresh, all_symbols, all_imports, before_files, code_files)
+    else:
+        answers = R.resolve_names(R.wanted_names(all_refs), all_symbols, all_imports, code_files)
+    warehouse.append("bindings", answers, repo, gen)
+    bound = stored(R.attach(all_refs, warehouse.written("bindings", repo, gen).drop("gen")), "bound")
     links = R.edges(bound)
     warehouse.append("edges", links.unionByName(R.contains_edges(all_symbols)), repo, gen)
+    # In order of key: a look-up by key skips the other files and row groups.
+    warehouse.append("lookups", suffix_table(all_symbols).repartitionByRange("key").sortWithinPartitions("key"), repo, gen)
     warehouse.append("file_imports", R.file_imports(links), repo, gen)
     warehouse.append("tested_by", test_links(bound, all_symbols, all_imports, code_files), repo, gen)
     if history:
@@ -158,10 +178,11 @@ def index_repo(spark: SparkSession, warehouse: Warehouse, root: str, repo: str |
     publish(gen, gen, corpus["n"], int(corpus["w"] or 0))
 
     own = lambda table: warehouse.written(table, repo, gen).count()
-    stats.symbols, stats.chunks = own("symbols"), own("chunks")
-    stats.edges = links.count() + own("file_imports")
+    stats.symbols, stats.chunks = fresh.count(), new_chunks.count()
+    stats.edges = own("edges") - warehouse.written("edges", repo, gen).where("kind = 'DEFINES'").count() + own("file_imports")
     stats.test_edges, stats.cochange_edges = own("tested_by"), own("co_changed")
     row = R.resolution_stats(bound).first()
     stats.resolution = {k: row[k] for k in ("total", "resolved", "unresolved", "external")} if row else {}
+    warehouse.clear(staging)
     return stats
 
