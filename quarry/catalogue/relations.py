@@ -72,14 +72,14 @@ SELECT node, min(hops)::BIGINT AS hops FROM r GROUP BY 1"""
 def callers_two_hops(spark, folder):
     """Callers within two hops."""
     target = table(spark, folder, "part").where("p_partkey = 1").select(F.col("p_partkey").alias("node"))
-    return longs(G.callers_within(staged(spark, part_edges(spark, folder)), target, 2), "hops")
+    return longs(G.callers_within(staged(spark, part_edges(spark, folder)), target, 2, stage=lambda df: staged(spark, df)), "hops")
 
 
 @query(_closure_sql(4))
 def callers_four_hops(spark, folder):
     """Bounded transitive closure at its deepest, target on cycles included."""
     target = table(spark, folder, "part").where("p_partkey = 1").select(F.col("p_partkey").alias("node"))
-    return longs(G.callers_within(staged(spark, part_edges(spark, folder)), target, 4), "hops")
+    return longs(G.callers_within(staged(spark, part_edges(spark, folder)), target, 4, stage=lambda df: staged(spark, df)), "hops")
 
 
 @query(f"""WITH {EDGES_SQL}, one AS (SELECT dst AS target, src AS node, 1 AS hops FROM ed),

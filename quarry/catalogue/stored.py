@@ -1,4 +1,4 @@
-"""The stored index over two states of the documents (K1-K5), and binding after a change."""
+"""The stored index over two states of the documents (K1-K5), binding after a change (J2-J4), answers cut to budgets."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from quarry.catalogue.relations import RESOLVE_SQL, part_symbols
 from quarry.functions import text as T
 from quarry.operators import resolve as R
 from quarry.operators.diff import changed_files
+from quarry.operators.fitting import CARD, HEADING, NOTE, fit_answers
 from quarry.session import staging_path
 from quarry.sources.warehouse import Warehouse, shelves_for
 
@@ -108,3 +109,36 @@ def rebind_after_change(spark, folder):
     gone = edited.unionByName(renamed).distinct()
     mine = lambda df: df.join(gone, ["repo", "path"], "left_semi")
     return R.rebind(answers, gone, mine(new_refs), mine(symbols), mine(new_symbols), new_symbols, new_imports, files, new_files).select("path", "lang", "name", "dst_path", "known")
+
+
+#: Answers are sources, their sections languages, their cards whole documents; two languages have notes, one has no heading.
+FIT_SQL = """WITH a AS (SELECT DISTINCT source AS answer, 3 AS title_cost, 4000 + 500 * (length(source) % 4) AS budget FROM documents WHERE source IS NOT NULL),
+s AS (SELECT answer, lang AS section, CASE WHEN lang <> 'es' THEN length(lang) + 2 END AS heading_cost, CASE WHEN lang IN ('de', 'fr') THEN 700 END AS note_cost
+  FROM a CROSS JOIN (SELECT DISTINCT lang FROM documents WHERE lang IS NOT NULL)),
+c AS (SELECT source AS answer, lang AS section, doc_id AS pos, greatest(1, ceil(coalesce(length(text), 0) / 4.0::DOUBLE * 1.15::DOUBLE))::BIGINT AS cost FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL),
+st AS (SELECT s.* FROM s WHERE note_cost IS NOT NULL OR EXISTS (SELECT 1 FROM c WHERE c.answer = s.answer AND c.section = s.section)),
+i AS (SELECT answer, section, 0 AS kind, NULL::BIGINT AS pos, coalesce(heading_cost, 0) AS cost, coalesce(heading_cost, 2) AS need FROM st
+  UNION ALL SELECT answer, section, 1, pos, cost, cost FROM c UNION ALL SELECT answer, section, 2, NULL, note_cost, NULL FROM st WHERE note_cost IS NOT NULL),
+r AS (SELECT i.*, budget, title_cost + coalesce(sum(cost) OVER (PARTITION BY i.answer ORDER BY section, kind, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent FROM i JOIN a ON a.answer = i.answer),
+o AS (SELECT *, sum(CASE WHEN spent + need > budget AND kind = 0 THEN 1 ELSE 0 END) OVER w AS heads, sum(CASE WHEN spent + need > budget THEN 1 ELSE 0 END) OVER w AS overs,
+  min(CASE WHEN spent + need > budget THEN section END) OVER w AS cut FROM r WINDOW w AS (PARTITION BY answer ORDER BY section, kind, pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+f AS (SELECT *, overs = 0 OR (kind = 2 AND cut = section AND heads = 0) AS shown FROM o)"""
+
+
+@query(f"""{FIT_SQL} SELECT answer, section, count(*) FILTER (shown AND kind = 0) AS headings, count(*) FILTER (shown AND kind = 1) AS cards,
+ count(*) FILTER (shown AND kind = 2) AS notes, coalesce(string_agg(pos::VARCHAR, ',' ORDER BY pos) FILTER (shown AND kind = 1), '') AS listed FROM f GROUP BY 1, 2""")
+def answers_within_budget(spark, folder):
+    """Many answers of several sections, each cut to its budget at the first item that goes over it."""
+    documents = table(spark, folder, "documents").where("source IS NOT NULL AND lang IS NOT NULL")
+    answers = documents.select(F.col("source").alias("answer")).distinct().select("answer", F.lit(3).alias("title_cost"), (4000 + 500 * (F.length("answer") % 4)).alias("budget"))
+    langs = [r[0] for r in documents.select("lang").distinct().collect()]  # a language each
+    sections = answers.select("answer").withColumn("section", F.explode(F.lit(langs))).select(
+        "answer", "section", F.when(F.col("section") != "es", F.length("section") + 2).alias("heading_cost"), F.when(F.col("section").isin("de", "fr"), 700).alias("note_cost"))
+    cards = documents.select(F.col("source").alias("answer"), F.col("lang").alias("section"), F.col("doc_id").alias("pos"),
+                             F.greatest(F.lit(1), T.estimate_tokens(F.coalesce("text", F.lit("")))).cast("long").alias("cost"))
+    found = fit_answers(answers, sections, cards).where("shown")
+    every = sections.select("answer", "section").join(cards.select("answer", "section").distinct().withColumn("filled", F.lit(True)), ["answer", "section"], "left").where("filled OR section IN ('de', 'fr')")
+    counts = found.groupBy("answer", "section").agg(*(F.count_if(F.col("kind") == k).alias(n) for k, n in ((HEADING, "headings"), (CARD, "cards"), (NOTE, "notes"))),
+                                                    F.array_join(F.array_sort(F.collect_list("pos")), ",").alias("listed"))
+    filled = every.select("answer", "section").join(counts, ["answer", "section"], "left")
+    return filled.select("answer", "section", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("headings", "cards", "notes")), F.coalesce("listed", F.lit("")).alias("listed"))

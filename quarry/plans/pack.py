@@ -7,7 +7,6 @@ can never show more cards than its budget, which bounds what is brought to the d
 from __future__ import annotations
 
 import math
-from bisect import bisect_right
 from dataclasses import dataclass, field
 from itertools import accumulate
 
@@ -17,7 +16,6 @@ from pyspark.sql import functions as F
 from quarry.functions import text as T
 
 
-
 def tokens(text: str) -> int:
     return math.ceil(len(text) / T.CHARS_PER_TOKEN * T.SAFETY_MARGIN)
 
@@ -40,34 +38,42 @@ class Pack:
     notes: list[str] = field(default_factory=list)
     available: int | None = None
 
+    def _items(self) -> list[tuple[int, str, int, int]]:
+        """(part, line, what it adds, what it must find room for) of all parts, flat; notes find room always."""
+        flat = []
+        for i, p in enumerate(self.parts):
+            if p.cards or p.note:
+                price = tokens(p.title) + 2
+                flat.append((i, p.title, price if p.title else 0, price))
+                flat += [(i, text, cost, cost) for text, cost in p.cards]
+                if p.note:
+                    flat.append((i, f"  {p.note}", tokens(p.note), 0))
+        return flat
+
     def render(self) -> str:
-        out = [self.title, ""] if self.title else []
-        spent, shown, cut = tokens("\n".join(out)), 0, False
-        for part in (p for p in self.parts if p.cards or p.note):
-            heading = tokens(part.title) + 2
-            if spent + heading > self.budget:
-                cut = True
-                break
-            if part.title:
-                out.append(part.title)
-                spent += heading
-            running = list(accumulate((cost for _, cost in part.cards), initial=spent))
-            fits = bisect_right(running, self.budget) - 1 if spent <= self.budget else 0
-            out += [text for text, _ in part.cards[:fits]]
-            spent, shown = running[fits], shown + fits
-            cut = fits < max(len(part.cards), part.total)
-            if part.note:
-                out.append(f"  {part.note}")
-                spent += tokens(part.note)
-            out.append("")
-            if cut:
-                break
-        whole = self.available if self.available is not None else sum(p.total for p in self.parts)
-        if cut or shown < whole:
-            hint = " - narrow the query, or raise budget_tokens, to see more" if shown < whole else ""
-            out.append(f"[showing {shown} of {whole}{hint}]")
-        out += [f"[{note}]" for note in self.notes]
-        return "\n".join(out).rstrip() + "\n"
+        """What `operators.fitting.fit_answers` does with a table of answers, for one: everything before the first item without room, and the
+        note of the part that it ends."""
+        title, items = [self.title, ""] if self.title else [], self._items()
+        before = accumulate((adds for _, _, adds, _ in items), initial=tokens("\n".join(title)))
+        end = next((k for k, (spent, item) in enumerate(zip(before, items, strict=False)) if item[3] and spent + item[3] > self.budget), len(items))
+        heads = [k for k in range(len(items)) if k == 0 or items[k][0] != items[k - 1][0]]
+        last = items[end][0] if end < len(items) and end not in heads else None  # the part that ends early
+        late = [k for k in range(end, len(items)) if items[k][0] == last and not items[k][3]]
+        lines, shown = list(title), 0
+        for k in [*range(end), *late]:
+            if k in heads and k:
+                lines.append("")
+            lines += [items[k][1]] if k not in heads or items[k][1] else []
+            shown += k not in heads and items[k][3] > 0
+        short = any(p.total > len(p.cards) for i, p in enumerate(self.parts) if any(items[k][0] == i for k in range(end)))
+        whole = sum(p.total for p in self.parts) if self.available is None else self.available
+        if shown < whole:
+            lines += ["", f"[showing {shown} of {whole}; a larger budget or a closer question shows the rest]"]
+        elif end < len(items) or short:
+            lines += ["", f"[showing {shown} of {whole}]"]
+        elif self.notes and len(items):
+            lines.append("")
+        return "\n".join([*lines, *(f"[{note}]" for note in self.notes)]).rstrip() + "\n"
 
     def tokens(self) -> int:
         return tokens(self.render())
