@@ -242,7 +242,7 @@ def code_callers(spark, folder):
     _, _, bound = _bound(spark, folder)
     calls = staged(spark, R.edges(bound).where("kind = 'CALLS'").select(F.col("src_id").alias("src"), F.col("dst_id").alias("dst")).distinct())
     target = calls.groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "node").limit(1).select("node")
-    return longs(G.callers_within(calls, target, 3), "hops")
+    return longs(G.callers_within(calls, target, 3, stage=lambda df: staged(spark, df)), "hops")
 
 
 @query()

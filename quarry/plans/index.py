@@ -160,7 +160,7 @@ def index_repo(spark: SparkSession, warehouse: Warehouse, root: str, repo: str |
     changed_refs = all_refs.join(gone, "path", "left_semi")
     if known and not force:
         before_files = before.where(~F.col("is_data")).select("repo", "path")
-        answers = R.rebind(warehouse.read("bindings", repo), gone.withColumn("repo", F.lit(repo)), changed_refs,
+        answers = R.rebind(warehouse.read("bindings", repo).drop("gen"), gone.withColumn("repo", F.lit(repo)), changed_refs,
                            warehouse.read("symbols", repo).join(gone, "path", "left_semi"), fresh, all_symbols, all_imports, before_files, code_files)
     else:
         answers = R.resolve_names(R.wanted_names(all_refs), all_symbols, all_imports, code_files)
