@@ -136,5 +136,6 @@ def without_spans(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", tex
 
         return pd.Series([left(t, s) for t, s in zip(texts, spans, strict=True)])
 
-    goes = found.where("size(removed) > 0").select(F.col(id_col).alias("_id"), F.col("removed").alias("_removed")).dropDuplicates(["_id"])
-    return docs.join(goes, F.col(id_col) == F.col("_id"), "left").withColumn(text_col, cut(F.col(text_col), F.col("_removed"))).select(*docs.columns)
+    own, spans = W.fresh("id"), W.fresh("removed")
+    goes = found.where("size(removed) > 0").select(F.col(id_col).alias(own), F.col("removed").alias(spans)).dropDuplicates([own])
+    return docs.join(goes, F.col(id_col) == F.col(own), "left").withColumn(text_col, cut(F.col(text_col), F.col(spans))).select(*docs.columns)

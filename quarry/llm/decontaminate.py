@@ -254,13 +254,14 @@ def contamination(spark: SparkSession, docs: DataFrame, items: DataFrame, id_col
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).withColumnRenamed("id", id_col)
 
 
-def flagged(spark: SparkSession, docs: DataFrame, items: DataFrame, text_col: str = "text", **options) -> DataFrame:
-    """All rows and columns of docs, and `_contaminated`: judged where they are, each row's text under its hash for the join back."""
-    told = docs.withColumn("_key", F.struct(F.xxhash64(text_col), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))).cast("string"))
-    judged = contamination(spark, told.select("_key", F.col(text_col).alias("text")), items, id_col="_key", **options)
-    goes = staged(spark, judged.where("contaminated").select("_key").distinct())
-    kept = told.join(goes.withColumn("_contaminated", F.lit(True)), "_key", "left")
-    return kept.withColumn("_contaminated", F.coalesce("_contaminated", F.lit(False))).drop("_key")
+def flagged(spark: SparkSession, docs: DataFrame, items: DataFrame, text_col: str = "text", mark: str = "_contaminated", **options) -> DataFrame:
+    """All rows and columns of docs, and `mark`, which must not be one of them: judged where they are, each row's text under its hash for the join back."""
+    key = W.fresh("key")
+    told = docs.withColumn(key, F.struct(F.xxhash64(text_col), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))).cast("string"))
+    judged = contamination(spark, told.select(key, F.col(text_col).alias("text")), items, id_col=key, **options)
+    goes = staged(spark, judged.where("contaminated").select(key).distinct())
+    kept = told.join(goes.withColumn(mark, F.lit(True)), key, "left")
+    return kept.withColumn(mark, F.coalesce(F.col(mark), F.lit(False))).drop(key)
 
 
 def digest(column: str = "items"):

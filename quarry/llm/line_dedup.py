@@ -189,11 +189,12 @@ def fuzzy_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
 
 def without_lines(docs: DataFrame, drops: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with the text left after the lines in `dropped` go; all rows and columns stay."""
-    goes = drops.where(F.size("dropped") > 0).select(F.col(id_col).alias("_id"), F.col("dropped").alias("_dropped"))
+    own, numbers = W.fresh("id"), W.fresh("dropped")
+    goes = drops.where(F.size("dropped") > 0).select(F.col(id_col).alias(own), F.col("dropped").alias(numbers))
     lines = F.split(F.col(text_col), "\n")
-    kept = F.filter(F.transform(lines, lambda x, i: F.struct(x.alias("x"), i.cast("long").alias("i"))), lambda s: ~F.array_contains("_dropped", s["i"]))
-    text = F.when(F.col("_dropped").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(kept, lambda s: s["x"]), "\n"))
-    return docs.join(goes, F.col(id_col) == F.col("_id"), "left").withColumn(text_col, text).select(*docs.columns)
+    kept = F.filter(F.transform(lines, lambda x, i: F.struct(x.alias("x"), i.cast("long").alias("i"))), lambda s: ~F.array_contains(numbers, s["i"]))
+    text = F.when(F.col(numbers).isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(kept, lambda s: s["x"]), "\n"))
+    return docs.join(goes, F.col(id_col) == F.col(own), "left").withColumn(text_col, text).select(*docs.columns)
 
 
 def brute(rows: list[tuple[int, str | None]], shingle: int = SHINGLE, percent: int = PERCENT) -> dict[int, list[int]]:

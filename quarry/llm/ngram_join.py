@@ -29,7 +29,9 @@ from quarry.llm import linking
 from quarry.llm import words as W
 from quarry.session import discard, staged
 
-LOCAL, ORDERED, BLOCK, MOST = 2, 1 << 19, 1 << 20, 4
+LOCAL, ORDERED, BLOCK, MOST = 2, 1 << 19, 1 << 19, 4
+#: Bytes of text whose shingles a task holds at once; what stays allocated between chunks follows from it.
+CHUNK = 3 << 17
 SHORT = 8
 #: Cost of verifying a pair, in entries of a list; a chance partner shares one more shingle with this probability.
 VERIFY, CHANCE = 60, 0.25
@@ -51,7 +53,7 @@ def _frequent(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Reco
         return pa.RecordBatch.from_arrays([pa.array(values[often].view(np.int64)), pa.array(counts[often].astype(np.int64))], names=["key", "n"])
 
     for batch in batches:
-        for chunk in W.chunks(batch.column(0)):
+        for chunk in W.chunks(batch.column(0), CHUNK):
             held.append(_shingles(chunk, width)[1])
             if sum(map(len, held)) >= BLOCK:
                 yield report()
@@ -79,7 +81,7 @@ class Order:
 
 def _prefixes(batches: Iterator[pa.RecordBatch], width: int, percent: int, order: Order) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for chunk in W.chunks(batch.column(1)):
+        for chunk in W.chunks(batch.column(1), CHUNK):
             n = chunk.last - chunk.first
             doc, values = _shingles(chunk, width)
             sizes = np.bincount(doc, minlength=n).astype(np.int64)
@@ -98,7 +100,7 @@ def _prefixes(batches: Iterator[pa.RecordBatch], width: int, percent: int, order
 def _sets(batches: Iterator[pa.RecordBatch], width: int, wanted: np.ndarray) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         kept = batch.filter(pa.array(linking.in_bloom(wanted, batch.column(0).to_numpy(zero_copy_only=False))))
-        for chunk in W.chunks(kept.column(1)):
+        for chunk in W.chunks(kept.column(1), CHUNK):
             n = chunk.last - chunk.first
             doc, values = _shingles(chunk, width)
             ends = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=n)) * 8]).astype(np.int32)
@@ -120,7 +122,9 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", t
     keys, counts = np.concatenate([often["key"].to_numpy(), lists["key"].to_numpy()]), np.concatenate([often["n"].to_numpy(), lists["n"].to_numpy()])
     best = np.lexsort((-counts, keys))
     best = best[np.concatenate([[True], keys[best][1:] != keys[best][:-1]])[: len(best)]]
+    first.destroy()
     order = spark.sparkContext.broadcast(Order(keys[best], counts[best]))
+    del often, lists, keys, counts
     rows = staged(spark, texts.mapInArrow(lambda it: _prefixes(it, width, percent, order.value), schema))
     sets = rows.where("size > 0 and id is not null")
     copies = staged(spark, sets.groupBy("k1", "k2", "size").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))

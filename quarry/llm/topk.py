@@ -9,7 +9,9 @@ bucket's vectors of sufficient length. All candidates are verified by their exac
 
 Vectors that are null, or hold null, NaN or infinite components, and rows with a null id take no part. Vectors of different
 dimensions are compared as if the shorter ended in zeros; an empty vector has length 0. Rows that carry the query's id are its own;
-a query id counts once. Ties go to the smaller id. Components must lie within +-2^25 after scaling, so that sums fit in 64 bits.
+a query id counts once, by the smallest of its vectors. Ties go to the smaller id. Products are exact at any size: blocks hold four
+bytes a component where that is enough, eight otherwise, and sums that could pass 64 bits are taken over Python's integers. A
+component or a score that doesn't fit in 64 bits raises.
 """
 
 from __future__ import annotations
@@ -33,10 +35,12 @@ def _integers(batches: Iterator[pa.RecordBatch], scale: int) -> Iterator[pa.Reco
         column = batch.column(1)
         sizes = np.diff(column.offsets.to_numpy())
         edges = np.concatenate([[0], np.cumsum(sizes)])
-        values = np.floor(column.flatten().to_numpy(zero_copy_only=False).astype(np.float64) * scale).astype(np.int64)
-        squares = np.concatenate([[0], np.cumsum(values * values)])
-        norms = np.sqrt((squares[edges[1:]] - squares[edges[:-1]]).astype(np.float64))
-        vectors = [values[a:b].astype("<i4").tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        scaled = np.floor(column.flatten().to_numpy(zero_copy_only=False).astype(np.float64) * scale)
+        if len(scaled) and not np.abs(scaled).max() < 2.0**63:
+            raise OverflowError("a scaled component doesn't fit in 64 bits")
+        norms = np.sqrt(np.bincount(np.repeat(np.arange(len(sizes)), sizes), scaled * scaled, len(sizes)))
+        values = scaled.astype("<i8")
+        vectors = [values[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(norms), pa.array(vectors, pa.binary())], names=["id", "norm", "vector"])
 
 
@@ -48,30 +52,40 @@ def _pack(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBat
             piece = batch.slice(at, rows)
             vectors = [v.as_py() for v in piece.column(2)]
             width = max(len(v) for v in vectors)
-            matrix = b"".join(v.ljust(width, b"\0") for v in vectors)
+            values = np.frombuffer(b"".join(v.ljust(width, b"\0") for v in vectors), "<i8")
+            small = len(values) == 0 or (values.min() >= -(1 << 31) and values.max() < 1 << 31)
+            matrix = values.astype("<i4").tobytes() if small else values.tobytes()
             yield pa.RecordBatch.from_arrays([
                 pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([piece.column(1)[0].as_py()]), pa.array([len(vectors)], pa.int32()),
-                pa.array([width // 4], pa.int32()), pa.array([piece.column(0).to_numpy().astype("<i8").tobytes()], pa.binary()), pa.array([matrix], pa.binary()),
+                pa.array([width // 8], pa.int32()), pa.array([piece.column(0).to_numpy().astype("<i8").tobytes()], pa.binary()), pa.array([matrix], pa.binary()),
             ], names=["part", "seq", "longest", "size", "width", "ids", "matrix"])
             seq += 1
 
 
-def _matrix(data: bytes, width: int, wide: int) -> np.ndarray:
-    n = len(data) // (4 * width) if width else 0
+def _matrix(data: bytes, n: int, width: int, wide: int) -> np.ndarray:
+    """n rows of `wide` integers from a block's rows of `width`, of four or eight bytes each."""
     out = np.zeros((n, wide), np.int64)
-    out[:, :width] = np.frombuffer(data, "<i4").reshape(n, width)
+    if width:
+        out[:, :width] = np.frombuffer(data, "<i4" if len(data) == 4 * n * width else "<i8").reshape(n, width)
     return out
 
 
+def _norms(v: np.ndarray) -> np.ndarray:
+    return np.sqrt((v.astype(np.float64) ** 2).sum(1))
+
+
 def _products(q: np.ndarray, v: np.ndarray) -> np.ndarray:
-    if q.size and v.size and float(np.abs(q).max()) * float(np.abs(v).max()) * q.shape[1] < 2**52:
+    largest = float(np.abs(q.astype(np.float64)).max()) * float(np.abs(v.astype(np.float64)).max()) * q.shape[1] if q.size and v.size else 0.0
+    if largest < 2**52:
         return (q.astype(np.float64) @ v.T.astype(np.float64)).astype(np.int64)
-    return q @ v.T
+    if largest < 2**62:
+        return q @ v.T
+    return (q.astype(object) @ v.T.astype(object)).astype(np.int64)  # raises where a score passes 64 bits
 
 
 def search_bucket(q: np.ndarray, q_ids: np.ndarray, thresholds: np.ndarray, v: np.ndarray, v_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query row, vector row, score) of each query's k best in a bucket in descending order of length that reach its threshold."""
-    q_norm, v_norm = np.sqrt((q * q).sum(1).astype(np.float64)), np.sqrt((v * v).sum(1).astype(np.float64))
+    q_norm, v_norm = _norms(q), _norms(v)
     with np.errstate(divide="ignore", invalid="ignore"):
         local = np.where(thresholds > 0, thresholds / (q_norm * v_norm[0]), -1.0)
         length = np.where(thresholds > 0, thresholds / q_norm, 0.0) * (1 - 1e-9)
@@ -128,12 +142,12 @@ def top_k(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int =
         odd = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
         return df.select(F.col(id_col).cast("long").alias("id"), v.cast("array<double>").alias("vector")).where(F.col("id").isNotNull() & v.isNotNull() & ~odd)
 
-    def blocks(df: DataFrame, rows: int) -> DataFrame:
-        whole = taking_part(df).mapInArrow(lambda it: _integers(it, scale), "id long, norm double, vector binary")
+    def blocks(part: DataFrame, rows: int) -> DataFrame:
+        whole = part.mapInArrow(lambda it: _integers(it, scale), "id long, norm double, vector binary")
         dealt = whole.repartitionByRange(F.desc("norm"), "id").sortWithinPartitions(F.desc("norm"), "id")
         return staged(spark, dealt.mapInArrow(lambda it: _pack(it, rows), _PACKED))
 
-    buckets, asked = blocks(vectors, BUCKET), blocks(queries.dropDuplicates([id_col]), BLOCK)
+    buckets, asked = blocks(taking_part(vectors), BUCKET), blocks(taking_part(queries).groupBy("id").agg(F.min("vector").alias("vector")), BLOCK)
     index = sorted((-r.longest, r.part, r.seq) for r in buckets.select("longest", "part", "seq").collect())  # a row for each BUCKET vectors
     reach = np.array([x[0] for x in index])
     seeds = F.array(*(F.struct(F.lit(p).alias("part"), F.lit(s).alias("seq")) for _, p, s in index[:SEEDS])) if index else None
@@ -146,11 +160,7 @@ def top_k(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int =
             for r in batch.to_pylist():
                 q_ids, v_ids = np.frombuffer(r["q_ids"], "<i8"), np.frombuffer(r["ids"], "<i8")
                 wide = max(r["q_width"], r["width"], 1)
-                q, v = _matrix(r["q_matrix"], r["q_width"], wide), _matrix(r["matrix"], r["width"], wide)
-                if not r["q_width"]:
-                    q = np.zeros((len(q_ids), wide), np.int64)
-                if not r["width"]:
-                    v = np.zeros((len(v_ids), wide), np.int64)
+                q, v = _matrix(r["q_matrix"], len(q_ids), r["q_width"], wide), _matrix(r["matrix"], len(v_ids), r["width"], wide)
                 least = np.frombuffer(r["least"], "<f8") if r["least"] else np.full(len(q_ids), -np.inf)
                 rows, columns, scores = search_bucket(q, q_ids, least, v, v_ids, k)
                 yield pa.RecordBatch.from_arrays([pa.array(q_ids[rows]), pa.array(v_ids[columns]), pa.array(scores)], names=["query_id", "vec", "score"])
@@ -173,8 +183,8 @@ def top_k(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int =
     def open_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                q = _matrix(r["q_matrix"], r["q_width"], r["q_width"]).astype(np.float64)
-                bounds, norms = np.array(r["bounds"]), np.sqrt((q * q).sum(1)) if r["q_width"] else np.zeros(len(r["bounds"]))
+                bounds = np.array(r["bounds"])
+                norms = _norms(_matrix(r["q_matrix"], len(bounds), r["q_width"], r["q_width"]))
                 with np.errstate(divide="ignore", invalid="ignore"):
                     needed = np.where(bounds > 0, bounds / norms, 0.0).min() * (1 - 1e-9)
                 upto = int(np.searchsorted(reach, -needed, "right"))

@@ -189,22 +189,44 @@ def _fit_words(positive: list[bytes], negative: list[bytes]) -> Model:
     return Model(keys, (table @ (whiten @ beta)).astype(np.float64), BIAS)
 
 
+def _word_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The columns in front of the text, and the distinct words of each text, lower-cased."""
+    for batch in batches:
+        for chunk in W.chunks(batch.column(batch.num_columns - 1)):
+            starts, ends, doc = units(chunk)
+            fits = ends - starts <= LONGEST
+            starts, ends, doc = starts[fits], ends[fits], doc[fits]
+            n = chunk.last - chunk.first
+            doc, value = W.distinct(doc, W.span_hashes(chunk.buf, starts, ends))
+            hashes = W.span_hashes(chunk.buf, starts, ends)
+            _, first, back = np.unique(hashes, return_index=True, return_inverse=True)
+            names = pa.array([chunk.buf[starts[i]: ends[i]].tobytes().decode().lower().encode() for i in first], pa.binary())
+            place = np.searchsorted(hashes[first], value) if len(value) else value.astype(np.int64)
+            edges = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=n))]).astype(np.int32)
+            held = pa.ListArray.from_arrays(pa.array(edges), names.take(pa.array(place)))
+            front = [batch.column(i).slice(chunk.first, n) for i in range(batch.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays([*front, held], names=[*batch.schema.names[:-1], "words"])
+
+
 def fit(texts: list[str | None], toxic: list[int]) -> Model | None:
     """Multiple-instance training on labelled texts; None if a label is missing."""
+    column = pa.RecordBatch.from_arrays([pa.array(texts, pa.large_string())], names=["text"])
+    return fit_sets([b.column(0) for b in _word_sets(iter([column]))], toxic)
+
+
+def fit_sets(columns: list[pa.Array], toxic: list[int]) -> Model | None:
+    """`fit` on the distinct words of each text, as lists of binaries: the driver needs no texts."""
     toxic_ids = [i for i, y in enumerate(toxic) if y]
     if not toxic_ids or len(toxic_ids) == len(toxic):
         return None
     places: dict[bytes, int] = {}
     held: list[np.ndarray] = []
-    for chunk in W.chunks(pa.array(texts, pa.large_string())):
-        starts, ends, doc = units(chunk)
-        fits = ends - starts <= LONGEST
-        starts, ends, doc = starts[fits], ends[fits], doc[fits]
-        _, first, back = np.unique(W.span_hashes(chunk.buf, starts, ends), return_index=True, return_inverse=True)
-        names = [chunk.buf[starts[i]: ends[i]].tobytes().decode().lower().encode() for i in first]
-        ids = np.array([places.setdefault(n, len(places)) for n in names], np.int64)[back]
-        for d in range(chunk.last - chunk.first):
-            held.append(np.unique(ids[doc == d]) if (doc == d).any() else np.zeros(0, np.int64))
+    for column in columns:
+        coded = column.flatten().dictionary_encode()
+        known = np.array([places.setdefault(n, len(places)) for n in coded.dictionary.to_pylist()], np.int64)
+        ids = known[coded.indices.to_numpy()]
+        edges = np.concatenate([[0], np.cumsum(np.diff(column.offsets.to_numpy()))])
+        held += [np.unique(ids[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
     names = list(places)
     seen: set[bytes] = set()
     bad, good = np.zeros(len(names)), np.zeros(len(names))
@@ -263,16 +285,19 @@ def _curve(value: np.ndarray, label: np.ndarray) -> tuple[float, float]:
 
 
 def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Model | None:
-    """Fit on at most `sample` labelled rows of each label."""
-    known = labels.select(F.col(id_col).alias("id"), (F.col(label_col) == 1).alias("y")).dropna().dropDuplicates(["id"])
+    """Fit on at most `sample` labelled rows of each label. An id with both labels is toxic. The executors cut the texts into words;
+    the driver gets each text's distinct words of at most LONGEST bytes."""
+    known = labels.select(F.col(id_col).alias("id"), (F.col(label_col) == 1).alias("y")).dropna().groupBy("id").agg(F.max("y").alias("y"))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    texts, toxic = [], []
+    kind = docs.schema[id_col].dataType.simpleString()
+    columns, toxic = [], []
     for y in (True, False):
         some = known.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(sample)
-        found = rows.join(some, "id").select("id", "text").orderBy("id").limit(sample).collect()
-        texts += [r.text for r in found]
+        cut = rows.join(some, "id").select("id", F.xxhash64("text").alias("h"), "text").mapInArrow(_word_sets, f"id {kind}, h long, words array<binary>")
+        found = cut.orderBy("id", "h").limit(sample).select("words").toArrow().column(0).combine_chunks()
+        columns += found.chunks if isinstance(found, pa.ChunkedArray) else [found]
         toxic += [int(y)] * len(found)
-    return fit(texts, toxic)
+    return fit_sets(columns, toxic)
 
 
 class Scorer:
@@ -344,8 +369,8 @@ def score(spark: SparkSession, docs: DataFrame, model: Model | None, id_col: str
     return scored.select(F.col("id").alias(id_col), "score", (F.col("score") >= least).cast("int").alias("predicted"))
 
 
-def flagged(spark: SparkSession, docs: DataFrame, model: Model, text_col: str = "text", least: float = 0.7) -> DataFrame:
-    """All rows and columns of docs, and `_predicted`: scored where they are, without a join."""
+def flagged(spark: SparkSession, docs: DataFrame, model: Model, text_col: str = "text", least: float = 0.7, mark: str = "_predicted") -> DataFrame:
+    """All rows and columns of docs, and `mark`, which must not be one of them: scored where they are, without a join."""
     sent = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("int")
@@ -358,4 +383,4 @@ def flagged(spark: SparkSession, docs: DataFrame, model: Model, text_col: str =
             found.append(scorer.model.probability(np.where(np.isfinite(top), top, -1.0)) >= least)
         return pd.Series(np.concatenate([np.zeros(0, bool), *found]).astype(np.int32))
 
-    return docs.withColumn("_predicted", predicted(F.col(text_col)))
+    return docs.withColumn(mark, predicted(F.col(text_col)))

@@ -10,8 +10,9 @@ successor. Chains within a split are contracted to their exit. Between splits, p
 place where the true chain enters each split; only candidates on the chain from there are records. A record whose payload holds
 the magic is put together from the pieces up to its successor. A chain that ends before the end of its file raises.
 
-Nulls: a null html is an empty payload, a null url an empty target. Rows with a null page id are left out; repeated page ids are
-one page each, told apart by their payload and order. An empty table gives no archive and no records.
+Nulls: a null html is an empty payload, a null url an empty target. A row with a null page id is a record too; null ids stand behind all
+others. Of equal payloads exactly one row is the response: that of the smallest id, then of the smallest url; of rows that are equal in
+all of this, one. The other rows revisit its id. An empty table gives no archive and no records.
 """
 
 from __future__ import annotations
@@ -43,24 +44,40 @@ def write(spark: SparkSession, pages: DataFrame, folder: str | None = None, id_c
     """Archives of all pages in a new folder, whose path is returned. Payloads of fewer than `least` bytes are never revisits."""
     folder = folder or staging_path(spark, "warc")
     payload = F.coalesce(F.col(payload_col), F.lit(""))
-    each = pages.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), payload.alias("payload"),
+    each = pages.select(F.col(id_col).alias("id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), payload.alias("payload"),
                         F.sha1(payload.cast("binary")).alias("hex"), F.octet_length(payload).cast("long").alias("bytes"))
-    copies = staged(spark, each.where(F.col("bytes") >= least).groupBy("hex", "bytes").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))
-    told = each.join(copies, ["hex", "bytes"], "left")
-    revisit = F.col("first").isNotNull() & (F.col("first") != F.col("id"))
+    each = each.withColumn("place", F.struct(F.col("id").isNull().alias("unnamed"), "id", "url"))
+    grouped = each.where(F.col("bytes") >= least).groupBy("hex", "bytes")
+    copies = staged(spark, grouped.agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))
+    told = each.join(copies, ["hex", "bytes"], "left").withColumn("revisit", F.col("first").isNotNull() & (F.col("first") != F.col("place")))
+    # rows that are equal in id, url and payload can all be the first: counted by task, one of them is the response
+    firsts = told.where("first is not null and not revisit").groupBy("hex", "bytes", F.spark_partition_id().alias("task")).agg(F.count("*").alias("n"))
+    firsts = staged(spark, firsts)
+    alike = staged(spark, firsts.groupBy("hex", "bytes").agg(F.sum("n").alias("all"), F.min("task").alias("task")).where("all > 1"))
+    if not alike.isEmpty():
+        equal = told.where("first is not null and not revisit").join(alike.select("hex", "bytes"), ["hex", "bytes"], "left_semi")
+        response = equal.groupBy("hex", "bytes", "id", "url", "place", "first", "revisit").agg(F.first("payload").alias("payload"))
+        again = firsts.join(alike, ["hex", "bytes", "task"], "left").join(alike.select("hex", "bytes", F.col("task").alias("holder")), ["hex", "bytes"])
+        again = again.select("hex", "bytes", (F.col("n") - F.when(F.col("holder") == F.col("task"), 1).otherwise(0)).alias("n")).where("n > 0")
+        again = again.join(copies, ["hex", "bytes"]).select("hex", "bytes", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("k"), "first")
+        revisits = again.select("hex", "bytes", F.col("first.id").alias("id"), F.col("first.url").alias("url"), F.col("first").alias("place"), "first",
+                                F.lit(True).alias("revisit"), F.lit("").alias("payload"))
+        single = told.join(alike.select("hex", "bytes", F.lit(True).alias("shared")), ["hex", "bytes"], "left").where("shared is null or revisit").drop("shared")
+        told = single.unionByName(response).unionByName(revisits)
+    revisit = F.col("revisit")
     block = F.when(revisit, F.lit("")).otherwise(F.col("payload"))
     clean = F.regexp_replace("url", r"[\r\n]+", "")
     fields = [
-        (F.lit("WARC-Type"), F.when(revisit, "revisit").otherwise("response")), (F.lit("WARC-Record-ID"), F.concat(F.lit("<urn:page:"), "id", F.lit(">"))),
+        (F.lit("WARC-Type"), F.when(revisit, "revisit").otherwise("response")), (F.lit("WARC-Record-ID"), F.concat(F.lit("<urn:page:"), F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit(">"))),
         (F.lit("WARC-Target-URI"), clean), (F.lit("WARC-Date"), F.lit("1970-01-01T00:00:00Z")),
         (F.lit("WARC-Payload-Digest"), F.concat(F.lit("sha1:"), base32_of_hex(F.col("hex")))), (F.lit("X-Payload-Length"), F.col("bytes").cast("string")),
-        (F.lit("WARC-Refers-To"), F.when(revisit, F.concat(F.lit("<urn:page:"), "first", F.lit(">")))),
+        (F.lit("WARC-Refers-To"), F.when(revisit, F.concat(F.lit("<urn:page:"), F.coalesce(F.col("first.id").cast("string"), F.lit("")), F.lit(">")))),
         (F.lit("WARC-Profile"), F.when(revisit, F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))),
         (F.lit("Content-Type"), F.lit("text/html; charset=utf-8")), (F.lit("Content-Length"), F.octet_length(block).cast("string")),
     ]
     header = F.concat_ws("\r\n", *(F.concat(name, F.lit(": "), value) for name, value in fields))  # concat of null is null, which concat_ws leaves out
     told.select(F.concat(F.lit(MAGIC), header, F.lit(GAP), block).alias("value")).write.option("lineSep", GAP).text(folder)
-    discard(spark, copies)
+    discard(spark, copies, firsts, alike)
     return folder
 
 
@@ -203,12 +220,13 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def field(name: str):
-    return F.nullif(F.regexp_extract("header", rf"(?im)^{name}:[ \t]*(.*?)[ \t]*\r?$", 1), F.lit(""))
+    """Value of a header's first field of this name; null where there is none or it is empty. Only CR LF ends a line."""
+    return F.nullif(F.regexp_extract("header", rf"(?i)(?:\A|\r\n){name}:[ \t]*([^\r\n]*?)[ \t]*(?=\r\n|\z)", 1), F.lit(""))
 
 
 def pages(records: DataFrame) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to and url of records that `write` made; digests of responses are checked."""
-    page = lambda name: F.regexp_extract(field(name), r"urn:page:(-?\d+)", 1).cast("long")
+    page = lambda name: F.nullif(F.regexp_extract(field(name), r"urn:page:(-?\d+)", 1), F.lit("")).cast("long")
     digest = F.regexp_replace(field("WARC-Payload-Digest"), "^sha1:", "")
     kind = field("WARC-Type")
     own = base32_of_hex(F.col("payload_hex"))

@@ -6,6 +6,7 @@ longest text. Null texts count as empty.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -153,3 +154,8 @@ def crc_remainder(column, modulus: int):
     from pyspark.sql import functions as F
 
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
+
+
+def fresh(name: str) -> str:
+    """A column name that no table has."""
+    return f"_{name}_{uuid.uuid4().hex}"
