@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import bpe, decontaminate, line_dedup, ngram_join, toxicity
+from quarry.llm.words import fresh
 from quarry.session import staged
 
 TOKENIZER = "word_bpe_49k.json"
@@ -22,7 +23,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     model = toxicity.train(spark, docs, spark.read.parquet(f"{folder}/labels.parquet"))
     if model is None:
         return docs
-    return toxicity.flagged(spark, docs, model).where("_predicted = 0").select(*docs.columns)
+    mark = fresh("predicted")
+    return toxicity.flagged(spark, docs, model, mark=mark).where(F.col(mark) == 0).select(*docs.columns)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
@@ -33,14 +35,16 @@ def drop_lines(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Of documents with linked sets of five-word shingles, at a similarity of 0.8 or more, that with the smallest id stays."""
     found = ngram_join.jaccard_join(spark, docs, width=5, percent=80)
-    goes = staged(spark, found.where("component_id != doc_id").select(F.col("doc_id").alias("_goes")).distinct())
-    return docs.join(goes, F.col("doc_id") == F.col("_goes"), "left_anti").select(*docs.columns)
+    own = fresh("goes")
+    goes = staged(spark, found.where("component_id != doc_id").select(F.col("doc_id").alias(own)).distinct())
+    return docs.join(goes, F.col("doc_id") == F.col(own), "left_anti").select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents of whose words a twentieth or more lie in benchmark windows go."""
     items = spark.read.parquet(f"{folder}/benchmark.parquet")
-    return decontaminate.flagged(spark, docs, items).where("not _contaminated").select(*docs.columns)
+    mark = fresh("contaminated")
+    return decontaminate.flagged(spark, docs, items, mark=mark).where(~F.col(mark)).select(*docs.columns)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
