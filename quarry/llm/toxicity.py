@@ -35,6 +35,7 @@ SAMPLE, LANDMARKS, NEGATIVES, ROUNDS, DECAY, COST = 4000, 512, 12000, 4, 0.8, 30
 #: Places of the further characters of a subsequence, after its first.
 STEPS = sorted([*combinations(range(1, 6), 2), *combinations(range(1, 6), 3), (2, 4, 6)], key=lambda s: s[-1])
 BLOCK = 100  # words of which the driver holds the dense rows at once
+SLICE = 2000  # words of which the driver holds the subsequences, or copies of the kernel rows, at once
 LONGEST = 400  # characters of a word that are compared at once; longer ones are cut into overlapping stretches
 _U = np.uint64
 _MANY = np.random.default_rng(5).integers(1, 1 << 63, 8, dtype=np.uint64) * _U(2) + _U(1)
@@ -74,6 +75,8 @@ def subsequences(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Itera
     n, parts = len(whole), [whole * m for m in _MANY[:4]]
     for steps in STEPS:
         last = steps[-1]
+        if last >= n:  # fewer letters than the stretch takes
+            continue
         h = parts[0][: n - last] + _U(len(steps)) * _MANY[7]
         for k, s in enumerate(steps):
             h += parts[k + 1][s: n - last + s]
@@ -130,16 +133,16 @@ def _features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return word, h, value / _scale(ends - starts)[word]
 
 
-def _kernel(words: list[bytes], keys: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """Kernel values of words against the landmarks; table: landmarks by their subsequences (keys)."""
-    out = np.zeros((len(words), table.shape[1]))
+def _kernel(words: list[bytes], keys: np.ndarray, table: np.ndarray, whiten: np.ndarray) -> np.ndarray:
+    """Whitened kernel values of words against the landmarks; table: landmarks by their subsequences (keys)."""
+    out = np.zeros((len(words), whiten.shape[1]))
     for at in range(0, len(words), BLOCK):
         word, h, value = _features(words[at: at + BLOCK])
         place = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
         match = keys[place] == h
         dense = np.zeros((min(BLOCK, len(words) - at), len(keys)), np.float32)
         np.maximum.at(dense, (word[match], place[match]), value[match])
-        out[at: at + BLOCK] = dense @ table
+        out[at: at + BLOCK] = (dense @ table) @ whiten
     return out
 
 
@@ -154,8 +157,12 @@ def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     for _ in range(40):
         slack = 1 - y * (x @ beta + BIAS)
         on = slack > 0
-        gradient = beta - 2 * x[on].T @ (weight[on] * y[on] * slack[on])
-        step = np.linalg.solve(np.eye(len(beta)) + 2 * (x[on] * weight[on, None]).T @ x[on], gradient)
+        gradient = beta - 2 * (np.where(on, weight * y * slack, 0.0) @ x)
+        curvature = np.eye(len(beta))
+        for at in range(0, len(x), SLICE):  # in slices, for the driver's memory
+            part = x[at: at + SLICE][on[at: at + SLICE]]
+            curvature += 2 * (part * weight[at: at + SLICE][on[at: at + SLICE], None]).T @ part
+        step = np.linalg.solve(curvature, gradient)
         size, now = 1.0, loss(beta)
         while loss(beta - size * step) > now and size > 1e-6:
             size /= 2
@@ -183,7 +190,7 @@ def _fit_words(positive: list[bytes], negative: list[bytes]) -> Model:
     values, vectors = np.linalg.eigh(among / scale**2)
     kept = values > 1e-6 * values.max()
     whiten = vectors[:, kept] / np.sqrt(values[kept]) / scale**2
-    x = np.vstack([_kernel(good, keys, table), _kernel(negative, keys, table)]) @ whiten
+    x = _kernel([*good, *negative], keys, table, whiten)
     y = np.concatenate([np.ones(len(good)), -np.ones(len(negative))])
     beta = _svm(x, y, np.where(y > 0, COST * max(1.0, 0.1 * len(negative) / len(good)), COST))
     return Model(keys, (table @ (whiten @ beta)).astype(np.float64), BIAS)
@@ -208,6 +215,10 @@ def _word_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*front, held], names=[*batch.schema.names[:-1], "words"])
 
 
+def _worths(model: Model, names: list[bytes]) -> np.ndarray:
+    return np.concatenate([model.values(*_joined(names[at: at + SLICE])) for at in range(0, len(names), SLICE)])
+
+
 def fit(texts: list[str | None], toxic: list[int]) -> Model | None:
     """Multiple-instance training on labelled texts; None if a label is missing."""
     column = pa.RecordBatch.from_arrays([pa.array(texts, pa.large_string())], names=["text"])
@@ -227,7 +238,12 @@ def fit_sets(columns: list[pa.Array], toxic: list[int]) -> Model | None:
         ids = known[coded.indices.to_numpy()]
         edges = np.concatenate([[0], np.cumsum(np.diff(column.offsets.to_numpy()))])
         held += [np.unique(ids[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+    # numbered by their hashes: ties between words then don't depend on the order of the rows
     names = list(places)
+    order = np.argsort(W.span_hashes(*_joined(names)), kind="stable") if names else np.zeros(0, np.int64)
+    number = np.empty(len(order), np.int64)
+    number[order] = np.arange(len(order))
+    names, held = [names[i] for i in order], [np.sort(number[d]) for d in held]
     seen: set[bytes] = set()
     bad, good = np.zeros(len(names)), np.zeros(len(names))
     for d, y in zip(held, toxic, strict=True):
@@ -254,10 +270,10 @@ def fit_sets(columns: list[pa.Array], toxic: list[int]) -> Model | None:
         witnesses = sorted(wins, key=lambda w: (-wins[w], w))
         against = [names[w] for w in [*hard, *clean] if w not in wins and odds[w] < 2.5]
         model = _fit_words([names[w] for w in witnesses], against)
-        worth = np.concatenate([model.values(*_joined(names[at: at + 50000])) for at in range(0, len(names), 50000)])
+        worth = _worths(model, names)
         hard = [*dict.fromkeys([*other[np.argsort(-worth[other] + 5 * (odds[other] > 2.5), kind="stable")][: NEGATIVES // 6].tolist(), *hard])]
         worth = worth + 0.3 * np.clip(odds, -2, 4)
-    raw = np.concatenate([model.values(*_joined(names[at: at + 50000])) for at in range(0, len(names), 50000)])
+    raw = _worths(model, names)
     top = np.array([raw[d].max() if len(d) else -1.0 for d in held])
     # the curve also sees each toxic text as it would be with dots in its worst word
     worst = [int(held[d][np.argmax(raw[held[d]])]) for d in toxic_ids if len(held[d])]
