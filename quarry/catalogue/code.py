@@ -1,9 +1,11 @@
 """The code path end to end (X*, C*, J2-J22, A*), over source files that Spark writes from `documents`.
 
-Every document becomes one file. Each of its lines with three ASCII words or more becomes a function that calls
-two others; the language follows the document number, the class is named after it, and every seventh file is a
-test. Names are words of the text, so they repeat across files just as real ones do. Because the text follows
-from the tables, SQL can state what extraction, binding and linking have to find.
+Every document becomes one file, and every ASCII word of its text stands in it. Each line with such words becomes a
+function: its first words name it and the two functions that it calls (a line of one or two repeats its last), all others
+stand behind as calls in its docstring or comment, where extraction must not take them for calls. The language follows
+the document number, the class is named after it, and every seventh file is a test. Names are words of the text, so they
+repeat across files just as real ones do. Because the text follows from the tables, SQL can state what extraction,
+binding and linking have to find.
 """
 
 from __future__ import annotations
@@ -35,15 +37,16 @@ def corpus(spark: SparkSession, folder: str) -> DataFrame:
     doc = F.col("doc_id")
     words = F.transform(F.split("text", "\n"), lambda line: F.regexp_extract_all(F.lower(line), F.lit("[a-z]+"), F.lit(0)))
     base = table(spark, folder, "documents").select(
-        "doc_id", F.filter(words, lambda w: F.size(w) >= 3).alias("fns"), (doc % 6).alias("l"))
-    name = lambda w, i: F.concat(F.lit("f_"), F.element_at(w, i))
+        "doc_id", F.filter(words, lambda w: F.size(w) > 0).alias("fns"), (doc % 6).alias("l"))
+    name = lambda w, i: F.concat(F.lit("f_"), F.element_at(w, F.least(F.lit(i), F.size(w))))
+    rest = lambda w: F.array_join(F.transform(F.slice(w, 4, F.size(w)), lambda v: F.concat(v, F.lit("()"))), " ")
     cls = F.concat(F.lit("D"), doc.cast("string"))
 
     def functions(template: str) -> Column:
-        """`template` with A, B, C for the function and its two callees and T for the class."""
+        """`template` with A, B, C for the function and its two callees, R for the words behind and T for the class."""
         def one(w: Column) -> Column:
             out = F.lit(template)
-            for mark, value in (("<A>", name(w, 1)), ("<B>", name(w, 2)), ("<C>", name(w, 3)), ("<T>", cls)):
+            for mark, value in (("<A>", name(w, 1)), ("<B>", name(w, 2)), ("<C>", name(w, 3)), ("<R>", rest(w)), ("<T>", cls)):
                 out = F.replace(out, F.lit(mark), value)
             return out
 
@@ -54,17 +57,17 @@ def corpus(spark: SparkSession, folder: str) -> DataFrame:
         name(F.get("fns", F.lit(0)), 3), F.lit("\n"))).otherwise("\n")
     text = (
         F.when(F.col("l") == 0, F.concat(imported, F.lit("class "), cls, F.lit(":\n"), functions(
-            "    def <A>(self, x: <T>) -> <T>:\n        return <B>(<C>(x))\n")))
+            "    def <A>(self, x: <T>) -> <T>:\n        \"\"\"<R>\"\"\"\n        return <B>(<C>(x))\n")))
         .when(F.col("l") == 1, F.concat(F.lit("export class "), cls, F.lit(" {\n"), functions(
-            "  <A>(x: <T>): <T> {\n    return <B>(<C>(x));\n  }\n"), F.lit("}\n")))
+            "  <A>(x: <T>): <T> {\n    // <R>\n    return <B>(<C>(x));\n  }\n"), F.lit("}\n")))
         .when(F.col("l") == 2, F.concat(F.lit("public class "), cls, F.lit(" {\n"), functions(
-            "  public <T> <A>(<T> x) {\n    return <B>(<C>(x));\n  }\n"), F.lit("}\n")))
+            "  public <T> <A>(<T> x) {\n    // <R>\n    return <B>(<C>(x));\n  }\n"), F.lit("}\n")))
         .when(F.col("l") == 3, F.concat(F.lit("class "), cls, F.lit(" {\n"), functions(
-            "  <A>(x) {\n    return <B>(<C>(x));\n  }\n"), F.lit("}\n")))
+            "  <A>(x) {\n    // <R>\n    return <B>(<C>(x));\n  }\n"), F.lit("}\n")))
         .when(F.col("l") == 4, F.concat(F.lit("type "), cls, F.lit(" struct {\n\tv int\n}\n"), functions(
-            "func <A>(x *<T>) <T> {\n\treturn <B>(<C>(x))\n}\n")))
+            "func <A>(x *<T>) <T> {\n\t// <R>\n\treturn <B>(<C>(x))\n}\n")))
         .otherwise(F.concat(F.lit("pub struct "), cls, F.lit(" {\n    v: i32,\n}\n"), functions(
-            "pub fn <A>(x: &<T>) -> <T> {\n    <B>(<C>(x))\n}\n")))
+            "pub fn <A>(x: &<T>) -> <T> {\n    // <R>\n    <B>(<C>(x))\n}\n")))
     )
     path = F.concat(F.when(doc % 7 == 3, "tests/").otherwise(""), F.lit("pkg"), F.floor(doc / 10).cast("string"), F.lit("/m"),
                     doc.cast("string"), _pick(EXTENSIONS, F.col("l")))
@@ -76,20 +79,21 @@ def corpus(spark: SparkSession, folder: str) -> DataFrame:
 CORPUS_SQL = """
 dc AS (SELECT doc_id, doc_id % 6 AS l, concat('D', doc_id) AS cls, ['python', 'typescript', 'java', 'javascript', 'go', 'rust'][doc_id % 6 + 1] AS lang,
   concat(CASE WHEN doc_id % 7 = 3 THEN 'tests/' ELSE '' END, 'pkg', doc_id // 10, '/m', doc_id, ['.py', '.ts', '.java', '.js', '.go', '.rs'][doc_id % 6 + 1]) AS path,
-  list_filter(list_transform(string_split(text, chr(10)), lambda s: regexp_extract_all(lower(s), '[a-z]+')), lambda w: len(w) >= 3) AS fns FROM documents),
+  list_filter(list_transform(string_split(text, chr(10)), lambda s: regexp_extract_all(lower(s), '[a-z]+')), lambda w: len(w) > 0) AS fns FROM documents),
 fn AS (SELECT doc_id, l, cls, lang, path, len(fns) AS n, unnest(fns) AS w, generate_subscripts(fns, 1) - 1 AS k FROM dc),
-ff AS (SELECT *, concat('f_', w[1]) AS a, concat('f_', w[2]) AS b, concat('f_', w[3]) AS c, l < 4 AS is_method,
-  CASE WHEN l = 0 THEN 3 + 2 * k WHEN l < 4 THEN 2 + 3 * k ELSE 4 + 3 * k END AS s FROM fn),
+ff AS (SELECT *, concat('f_', w[1]) AS a, concat('f_', w[least(2, len(w))]) AS b, concat('f_', w[least(3, len(w))]) AS c, l < 4 AS is_method,
+  coalesce(array_to_string(list_transform(w[4:], lambda v: concat(v, '()')), ' '), '') AS rest,
+  CASE WHEN l = 0 THEN 3 + 3 * k WHEN l < 4 THEN 2 + 4 * k ELSE 4 + 4 * k END AS s FROM fn),
 sy AS (SELECT path, lang, doc_id, a AS name, CASE WHEN is_method THEN 'method' ELSE 'function' END AS kind, CASE WHEN is_method THEN cls END AS parent,
-   CASE WHEN is_method THEN concat(cls, '.', a) ELSE a END AS local_qname, s AS start_line, s + CASE WHEN l = 0 THEN 1 ELSE 2 END AS end_line, k + 1 AS ord FROM ff
+   CASE WHEN is_method THEN concat(cls, '.', a) ELSE a END AS local_qname, s AS start_line, s + CASE WHEN l = 0 THEN 2 ELSE 3 END AS end_line, k + 1 AS ord FROM ff
   UNION ALL SELECT path, lang, doc_id, cls, CASE WHEN l < 4 THEN 'class' ELSE 'struct' END, NULL, cls, CASE WHEN l = 0 THEN 2 ELSE 1 END,
-   CASE WHEN l = 0 THEN 2 + 2 * len(fns) WHEN l < 4 THEN 2 + 3 * len(fns) ELSE 3 END, 0 FROM dc WHERE l > 0 OR len(fns) > 0),
+   CASE WHEN l = 0 THEN 2 + 3 * len(fns) WHEN l < 4 THEN 2 + 4 * len(fns) ELSE 3 END, 0 FROM dc WHERE l > 0 OR len(fns) > 0),
 us AS (SELECT path, lang, CASE WHEN is_method THEN concat(cls, '.', a) ELSE a END AS owner, a, unnest(
     CASE WHEN l = 3 THEN [{'t': b, 'via': 'call'}, {'t': c, 'via': 'call'}]
          ELSE [{'t': b, 'via': 'call'}, {'t': c, 'via': 'call'}, {'t': cls, 'via': 'param'}, {'t': cls, 'via': 'return'}] END) AS u FROM ff),
 rf AS (SELECT path, lang, owner, u.t AS target, u.via AS via FROM us WHERE u.t <> a)"""
 IMPORT_SQL = """
-im AS (SELECT path, concat('f_', fns[1][3]) AS name, concat('pkg', (doc_id + 6) // 10, '.m', doc_id + 6) AS module, concat('pkg', (doc_id + 6) // 10, '/m', doc_id + 6, '.py') AS f1,
+im AS (SELECT path, concat('f_', fns[1][least(3, len(fns[1]))]) AS name, concat('pkg', (doc_id + 6) // 10, '.m', doc_id + 6) AS module, concat('pkg', (doc_id + 6) // 10, '/m', doc_id + 6, '.py') AS f1,
   concat('tests/pkg', (doc_id + 6) // 10, '/m', doc_id + 6, '.py') AS f2 FROM dc WHERE l = 0 AND len(fns) > 0)"""
 BOUND_SQL = CORPUS_SQL + "," + IMPORT_SQL + """,
 pf AS (SELECT lang, name, path, regexp_replace(path, '/[^/]*$', '') AS folder, count(*) AS n, arg_min(local_qname, ord) AS q FROM sy GROUP BY 1, 2, 3, 4),
@@ -139,6 +143,13 @@ def code_signatures(spark, folder):
     return longs(found.where(F.col("kind").isin("function", "method")).select("path", "ord", "signature"), "ord")
 
 
+@query(f"""WITH {CORPUS_SQL} SELECT path, k + 1 AS ord, CASE WHEN l = 0 THEN left(rest, 400) ELSE '' END AS docstring FROM ff""")
+def code_docstrings(spark, folder):
+    """Docstrings of functions, up to their stored width; only Python has them."""
+    found = extract(corpus(spark, folder))["symbols"]
+    return longs(found.where(F.col("kind").isin("function", "method")).select("path", "ord", "docstring"), "ord")
+
+
 @query(f"WITH {CORPUS_SQL} SELECT path, owner AS from_local_qname, target AS target_name, via FROM rf")
 def code_references(spark, folder):
     """References with their owner and kind."""
@@ -151,7 +162,7 @@ def code_imports(spark, folder):
     return imports_of(corpus(spark, folder)).select("path", "module", F.array_join("names", ",").alias("names"))
 
 
-@query(f"""WITH {CORPUS_SQL} SELECT path, (CASE WHEN l = 0 THEN 3 + 2 * len(fns) WHEN l < 4 THEN 3 + 3 * len(fns) ELSE 4 + 3 * len(fns) END)::BIGINT AS loc,
+@query(f"""WITH {CORPUS_SQL} SELECT path, (CASE WHEN l = 0 THEN 3 + 3 * len(fns) WHEN l < 4 THEN 3 + 4 * len(fns) ELSE 4 + 4 * len(fns) END)::BIGINT AS loc,
  lang = 'javascript' AS types_unavailable FROM dc""")
 def code_files(spark, folder):
     """Line counts and whether types exist to extract."""
@@ -159,17 +170,18 @@ def code_files(spark, folder):
 
 
 @query(f"""WITH {CORPUS_SQL},
-cb AS (SELECT path, l, a, k, s, cls, lang, CASE l WHEN 0 THEN concat('def ', a, '(self, x: ', cls, ') -> ', cls, ':', chr(10), '        return ', b, '(', c, '(x))')
-  WHEN 1 THEN concat(a, '(x: ', cls, '): ', cls, ' {{', chr(10), '    return ', b, '(', c, '(x));', chr(10), '  }}')
-  WHEN 2 THEN concat('public ', cls, ' ', a, '(', cls, ' x) {{', chr(10), '    return ', b, '(', c, '(x));', chr(10), '  }}')
-  WHEN 3 THEN concat(a, '(x) {{', chr(10), '    return ', b, '(', c, '(x));', chr(10), '  }}')
-  WHEN 4 THEN concat('func ', a, '(x *', cls, ') ', cls, ' {{', chr(10), chr(9), 'return ', b, '(', c, '(x))', chr(10), '}}')
-  ELSE concat('pub fn ', a, '(x: &', cls, ') -> ', cls, ' {{', chr(10), '    ', b, '(', c, '(x))', chr(10), '}}') END AS body FROM ff),
+cb AS (SELECT path, l, a, k, s, cls, lang, rest, CASE l WHEN 0 THEN concat('def ', a, '(self, x: ', cls, ') -> ', cls, ':', chr(10), '        \"\"\"', rest, '\"\"\"', chr(10), '        return ', b, '(', c, '(x))')
+  WHEN 1 THEN concat(a, '(x: ', cls, '): ', cls, ' {{', chr(10), '    // ', rest, chr(10), '    return ', b, '(', c, '(x));', chr(10), '  }}')
+  WHEN 2 THEN concat('public ', cls, ' ', a, '(', cls, ' x) {{', chr(10), '    // ', rest, chr(10), '    return ', b, '(', c, '(x));', chr(10), '  }}')
+  WHEN 3 THEN concat(a, '(x) {{', chr(10), '    // ', rest, chr(10), '    return ', b, '(', c, '(x));', chr(10), '  }}')
+  WHEN 4 THEN concat('func ', a, '(x *', cls, ') ', cls, ' {{', chr(10), chr(9), '// ', rest, chr(10), chr(9), 'return ', b, '(', c, '(x))', chr(10), '}}')
+  ELSE concat('pub fn ', a, '(x: &', cls, ') -> ', cls, ' {{', chr(10), '    // ', rest, chr(10), '    ', b, '(', c, '(x))', chr(10), '}}') END AS body FROM ff),
 sg AS (SELECT *, CASE WHEN l = 0 THEN string_split(body, chr(10))[1] ELSE trim(string_split(body, '{{')[1]) END AS sig FROM cb),
 ch AS (SELECT concat('r:', path, ':', k) AS id, CASE WHEN l < 4 THEN 'method' ELSE 'function' END AS kind,
    concat(regexp_replace(replace(path, '/', '.'), '\\.[^.]*$', ''), '.', CASE WHEN l < 4 THEN concat(cls, '.') ELSE '' END, a) AS symbol_qname,
-   s AS start_line, s + CASE WHEN l = 0 THEN 1 ELSE 2 END AS end_line,
-   concat('# file: ', path, CASE WHEN l < 4 THEN concat(chr(10), '# class: ', cls) ELSE '' END, chr(10), '# ', sig, chr(10), body) AS text FROM sg
+   s AS start_line, s + CASE WHEN l = 0 THEN 2 ELSE 3 END AS end_line,
+   concat('# file: ', path, CASE WHEN l < 4 THEN concat(chr(10), '# class: ', cls) ELSE '' END, chr(10), '# ', sig,
+     CASE WHEN l = 0 AND rest <> '' THEN concat(chr(10), '# doc: ', left(rest, 160)) ELSE '' END, chr(10), body) AS text FROM sg
   UNION ALL SELECT concat('r:', path, ':', len(fns)), 'module', NULL, 1, 3, concat('# file: ', path, chr(10),
    CASE WHEN l = 4 THEN concat('type ', cls, ' struct {{', chr(10), chr(9), 'v int') ELSE concat('pub struct ', cls, ' {{', chr(10), '    v: i32,') END, chr(10), '}}') FROM dc WHERE l >= 4)
 SELECT id, kind, symbol_qname, start_line::BIGINT AS start_line, end_line::BIGINT AS end_line, md5(text) AS digest FROM ch""")
