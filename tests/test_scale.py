@@ -24,3 +24,13 @@ def test_rules_run_in_methods_that_are_compiled(spark):
     files = spark.createDataFrame([("r", "a.py", "python", "def f(x):\n    return g(x)\n")], "repo string, path string, lang string, text string")
     extract(files)
     assert spark.conf.get("spark.sql.codegen.hugeMethodLimit") == str(COMPILED_BYTES)
+
+
+def test_embeddings_stay_inside_the_row(spark):
+    texts = [None, "", "12 !", "one", "fooBar foo_bar FOO foo", "a b a b a", " ".join(f"w{i % 700}x{chr(97 + i % 26)}" for i in range(9000)), "Über zwei"]
+    df = V.HashedFeatures().embed(spark.createDataFrame(list(enumerate(texts)), "id long, text string"))
+    assert "Exchange" not in _plan(df)
+    for row in df.collect():
+        want = V.HashedFeatures().query(texts[row["id"]])
+        assert len(row["embedding"]) == V.DIM
+        assert max(abs(a - b) for a, b in zip(row["embedding"], want, strict=True)) < 1e-6
