@@ -34,3 +34,15 @@ def test_embeddings_stay_inside_the_row(spark):
         want = V.HashedFeatures().query(texts[row["id"]])
         assert len(row["embedding"]) == V.DIM
         assert max(abs(a - b) for a, b in zip(row["embedding"], want, strict=True)) < 1e-6
+
+
+def test_co_change_tasks_are_bounded_and_nothing_is_sorted_for_its_stamp(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(relations, "TASK_LINES", 5)
+    lines = [(o, p, p) for o in range(20) for p in (1, 2, 3 + o)] + [(0, 1, 1), (None, 1, 1), (20, 1, 1), (20, 2, 2)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    orders = spark.createDataFrame([(o, f"2001-12-{o + 1:02}") for o in range(20)] + [(20, None)], "o_orderkey long, d string")
+    orders.select("o_orderkey", F.col("d").cast("timestamp_ntz").alias("o_orderdate")).write.parquet(f"{tmp_path}/orders.parquet")
+    df = relations.co_change_parts(spark, str(tmp_path))
+    plan = _plan(df)
+    assert "SortAggregate" not in plan and "REPARTITION_BY_NUM" in plan and f"{-(-len(lines) // 5)}), REPARTITION_BY_NUM" in plan
+    assert [tuple(r)[:3] + (r["last_seen"],) for r in df.collect()] == [(1, 2, 21, "2001-12-20")]
