@@ -9,7 +9,7 @@ from quarry.catalogue.registry import longs, query, table
 from quarry.functions import text as T
 from quarry.operators import evaluate as E
 from quarry.operators import ranking as R
-from quarry.operators.blocks import blocks_topk, posting_blocks
+from quarry.operators.blocks import blocks_topk, by_stretch, posting_blocks
 from quarry.operators.windows import budget_prefix
 from quarry.plans.pack import priced
 from quarry.session import staged
@@ -72,9 +72,9 @@ SELECT doc_id, round(score, 5) AS score FROM bm ORDER BY bm.score DESC, doc_id L
 def bm25_blocks_topk(spark, folder):
     """R2: the best documents from stored blocks, of which only those are read whose bound reaches the threshold."""
     documents = table(spark, folder, "documents")
-    post = staged(spark, R.postings(documents, ["doc_id"], "text"))
     total = documents.count()
     words = documents.agg(F.avg(F.size(R.words(F.col("text"))))).first()[0]
+    post = R.postings(by_stretch(documents.select("doc_id", "text"), "doc_id", total), ["stretch", "doc_id"], "text")
     blocks = staged(spark, posting_blocks(post, "doc_id", total, words))
     found, _ = blocks_topk(blocks, TERMS, total, words, R.SEED_POOL)
     return found.select(F.col("key").alias("doc_id"), F.round("score", 5).alias("score"))

@@ -18,20 +18,29 @@ from pyspark.sql import functions as F
 from quarry.operators.ranking import idf, saturated
 
 SPAN, FIRST, LISTED = 128, 64, 10_000
+TASK_DOCS = 8192  # documents that a task cuts into postings, about
 
 
 def stretch_of(key: Column, docs: int, span: int = SPAN) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(max(1, math.ceil(docs / span))))
 
 
+def by_stretch(documents: DataFrame, key: str, docs: int, span: int = SPAN) -> DataFrame:
+    """Documents with their stretch, whole stretches together: cutting into words and grouping then need no further exchange. A task gets a
+    bounded number of documents, however many there are."""
+    tasks = max(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(docs / TASK_DOCS))
+    return documents.withColumn("stretch", stretch_of(F.col(key), docs, span)).repartition(tasks, "stretch")
+
+
 def posting_blocks(post: DataFrame, key: str, docs: int, average: float, span: int = SPAN) -> DataFrame:
-    """(term, stretch, n, peak, base, rows) from postings (key, term, tf, dl). A stretch bounds the size of a block. Store them in this order:
-    a reader of some terms and stretches then skips the rest by the statistics of files, row groups and pages."""
-    dealt = post.withColumn("stretch", stretch_of(F.col(key), docs, span))
-    blocks = dealt.groupBy("term", "stretch").agg(
+    """(term, stretch, n, peak, base, rows) from postings (key, term, tf, dl), which may carry their stretch. A stretch bounds the size of a block.
+    Postings of documents that `by_stretch` has dealt stay where they are. Store the blocks in this order: a reader of some terms and stretches
+    then skips the rest by the statistics of row groups and pages."""
+    dealt = post if "stretch" in post.columns else post.withColumn("stretch", stretch_of(F.col(key), docs, span))
+    blocks = dealt.groupBy("stretch", "term").agg(
         F.count(F.lit(1)).alias("n"), F.max(saturated(F.col("tf").cast("double"), F.col("dl").cast("double"), F.lit(float(average or 1.0)))).alias("peak"), F.lit(float(average or 1.0)).alias("base"),
         F.collect_list(F.struct(F.col(key).alias("key"), "tf", "dl")).alias("rows"))
-    return blocks.repartitionByRange("term", "stretch").sortWithinPartitions("term", "stretch")
+    return blocks.select("term", "stretch", "n", "peak", "base", "rows").sortWithinPartitions("term", "stretch")
 
 
 def blocks_topk(blocks: DataFrame, terms: list[str], total: float, average: float, k: int, first: int = FIRST) -> tuple[DataFrame, dict[str, int]]:

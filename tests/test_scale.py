@@ -46,3 +46,13 @@ def test_co_change_tasks_are_bounded_and_nothing_is_sorted_for_its_stamp(spark,
     plan = _plan(df)
     assert "SortAggregate" not in plan and "REPARTITION_BY_NUM" in plan and f"{-(-len(lines) // 5)}), REPARTITION_BY_NUM" in plan
     assert [tuple(r)[:3] + (r["last_seen"],) for r in df.collect()] == [(1, 2, 21, "2001-12-20")]
+
+
+def test_blocks_take_one_exchange_of_texts(spark):
+    docs = spark.createDataFrame([(i, f"w{i % 3} w{i % 5} w0") for i in range(300)] + [(7, "w9 w9"), (8, None)], "doc_id long, text string")
+    dealt = B.by_stretch(docs, "doc_id", 302, 16)
+    blocks = B.posting_blocks(K.postings(dealt, ["stretch", "doc_id"], "text"), "doc_id", 302, 3.0, 16)
+    assert _plan(blocks).count("Exchange") == 1
+    old = B.posting_blocks(K.postings(docs, ["doc_id"], "text"), "doc_id", 302, 3.0, 16)
+    rows = lambda df: Counter((r["term"], r["stretch"], r["n"], round(r["peak"], 9), tuple(sorted((x["key"], x["tf"]) for x in r["rows"]))) for r in df.collect())
+    assert rows(blocks) == rows(old)
