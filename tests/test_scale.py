@@ -36,6 +36,16 @@ def test_embeddings_stay_inside_the_row(spark):
         assert max(abs(a - b) for a, b in zip(row["embedding"], want, strict=True)) < 1e-6
 
 
+def test_a_text_is_digested_once(spark):
+    column = V.digest_embedding(F.col("text"))
+    assert not re.search(r"lambdafunction\(.*sha2\(", str(column))
+    rows = spark.createDataFrame([("abc",), ("",), (None,)], "text string").select("text", column.alias("v"), V.digest_embedding(F.col("text"), 40).alias("w")).collect()
+    for text, v, w in rows:
+        want = [None] * V.DIM if text is None else V.DigestStub().query(text)
+        assert len(v) == V.DIM and w == v[:40]
+        assert all(a is b if b is None else abs(a - b) < 1e-6 for a, b in zip(v, want, strict=True))
+
+
 def test_co_change_tasks_are_bounded_and_nothing_is_sorted_for_its_stamp(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(relations, "TASK_LINES", 5)
     lines = [(o, p, p) for o in range(20) for p in (1, 2, 3 + o)] + [(0, 1, 1), (None, 1, 1), (20, 1, 1), (20, 2, 2)]
