@@ -11,7 +11,7 @@ from quarry.functions import text as T
 from quarry.operators import resolve as R
 from quarry.operators.diff import changed_files
 from quarry.operators.fitting import CARD, HEADING, NOTE, fit_answers
-from quarry.session import staging_path
+from quarry.session import staged, staging_path
 from quarry.sources.warehouse import Warehouse, shelves_for
 
 REPO = "docs"
@@ -39,7 +39,7 @@ def store(warehouse: Warehouse, state: DataFrame, shelves: int | None = None) ->
     spark, gen = warehouse.spark, warehouse.next_generation(REPO)
     known, before = warehouse.published(REPO), warehouse.read("files", REPO)
     found = state.select("path", "text", F.sha2("text", 256).alias("sha256"))
-    diff = changed_files(found, before.select("path", F.col("sha256").alias("old_sha256"))).select("path", "status")
+    diff = staged(spark, changed_files(found, before.select("path", F.col("sha256").alias("old_sha256"))).select("path", "status"))  # read by all that follows
     shelves = known["shelves"] if known else shelves or shelves_for(found.count())
     gone = diff.where("status <> 'unchanged'").select("path")
     touched = warehouse.touched(gone, shelves)

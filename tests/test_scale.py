@@ -75,3 +75,13 @@ def test_the_last_step_of_a_traversal_is_not_stored(spark):
         found = G.callers_within(edges, spark.createDataFrame([("a",)], "node string"), depth, stage=lambda df, seen=seen: seen.append(1) or df)
         assert len(seen) == depth - 1
         assert {tuple(r) for r in found.collect()} == set(list(zip("bcde", range(1, 5)))[:depth])
+
+
+def test_what_changed_is_found_once(spark, tmp_path, monkeypatch):
+    calls, staged = [], stored.staged
+    monkeypatch.setattr(stored, "staged", lambda spark, df: calls.append(df.columns) or staged(spark, df))
+    warehouse = Warehouse(spark, str(tmp_path / "w"))
+    stored.store(warehouse, spark.createDataFrame([("a", "x y\nz"), ("b", "u")], "path string, text string"), 2)
+    stored.store(warehouse, spark.createDataFrame([("a", "x y\nz"), ("c", "v")], "path string, text string"), 2)
+    assert calls == [["path", "status"]] * 2
+    assert {(r["path"], r["name"]) for r in warehouse.read("symbols", stored.REPO).collect()} == {("a", "x"), ("a", "z"), ("c", "v")}
