@@ -1,8 +1,11 @@
 """What keeps a task's memory, the exchanges and the repeated work bounded; results stand in the other tests."""
 
 import re
+import tracemalloc
 from collections import Counter
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from quarry.catalogue import relations, stored
@@ -10,6 +13,7 @@ from quarry.functions import vectors as V
 from quarry.operators import blocks as B
 from quarry.operators import graph as G
 from quarry.operators import ranking as K
+from quarry.plans import extract as E
 from quarry.plans.extract import extract
 from quarry.session import COMPILED_BYTES
 from quarry.sources.warehouse import Warehouse
@@ -85,3 +89,29 @@ def test_what_changed_is_found_once(spark, tmp_path, monkeypatch):
     stored.store(warehouse, spark.createDataFrame([("a", "x y\nz"), ("c", "v")], "path string, text string"), 2)
     assert calls == [["path", "status"]] * 2
     assert {(r["path"], r["name"]) for r in warehouse.read("symbols", stored.REPO).collect()} == {("a", "x"), ("a", "z"), ("c", "v")}
+
+
+def test_windows_of_the_extraction_copy_few_columns(spark):
+    files = spark.createDataFrame([("r", "a.py", "python", "def f(x):\n    return g(x)\n")], "repo string, path string, lang string, text string")
+    placed = E.place(E.lex(files))
+    assert not {"p1", "t1", "t5", "k1"} & set(placed.columns)
+    plan = E.entities(files)._jdf.queryExecution().optimizedPlan()
+    widest, todo = 0, [plan]
+    while todo:
+        node = todo.pop()
+        if node.nodeName() == "Window":
+            widest = max(widest, node.output().size())
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    assert 0 < widest <= 32
+
+
+def test_fitting_words_makes_no_copy_of_the_landmark_table():
+    toxicity = pytest.importorskip("quarry.llm.toxicity")
+    letters = np.random.default_rng(3).integers(97, 123, (200, 24), dtype=np.uint8)
+    words = [row.tobytes() for row in letters]
+    tracemalloc.start()
+    model = toxicity._fit_words(words[:100], words[100:])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert model.weights.dtype == np.float64 and len(model.weights) == len(model.keys)
+    assert peak < 2.5 * len(model.keys) * len(words) * 4
