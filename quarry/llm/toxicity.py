@@ -193,7 +193,9 @@ def _fit_words(positive: list[bytes], negative: list[bytes]) -> Model:
     x = _kernel([*good, *negative], keys, table, whiten)
     y = np.concatenate([np.ones(len(good)), -np.ones(len(negative))])
     beta = _svm(x, y, np.where(y > 0, COST * max(1.0, 0.1 * len(negative) / len(good)), COST))
-    return Model(keys, (table @ (whiten @ beta)).astype(np.float64), BIAS)
+    folded = whiten @ beta
+    # in slices: against doubles the whole table would be copied as doubles, twice its size
+    return Model(keys, np.concatenate([table[at: at + SLICE] @ folded for at in range(0, len(table), SLICE)]), BIAS)
 
 
 def _word_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
