@@ -34,7 +34,7 @@ from quarry.llm.line_dedup import characters
 SAMPLE, LANDMARKS, NEGATIVES, ROUNDS, DECAY, COST = 4000, 512, 12000, 4, 0.8, 300.0
 #: Places of the further characters of a subsequence, after its first.
 STEPS = sorted([*combinations(range(1, 6), 2), *combinations(range(1, 6), 3), (2, 4, 6)], key=lambda s: s[-1])
-BLOCK = 100  # words of which the driver holds the dense rows at once
+BLOCK = 200  # words that the driver compares with the landmarks at once
 SLICE = 2000  # words of which the driver holds the subsequences, or copies of the kernel rows, at once
 LONGEST = 400  # characters of a word that are compared at once; longer ones are cut into overlapping stretches
 _U = np.uint64
@@ -133,16 +133,48 @@ def _features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return word, h, value / _scale(ends - starts)[word]
 
 
-def _kernel(words: list[bytes], keys: np.ndarray, table: np.ndarray, whiten: np.ndarray) -> np.ndarray:
-    """Whitened kernel values of words against the landmarks; table: landmarks by their subsequences (keys)."""
-    out = np.zeros((len(words), whiten.shape[1]))
+@dataclass
+class Table:
+    """Landmarks by their subsequences: the keys, and for each key the landmarks that have it and their values."""
+
+    keys: np.ndarray
+    edges: np.ndarray
+    marks: np.ndarray
+    values: np.ndarray
+    n: int
+
+    @staticmethod
+    def of(words: list[bytes]) -> Table:
+        word, h, value = _features(words)
+        keys = np.unique(h)
+        cell, first = np.unique(np.searchsorted(keys, h) * len(words) + word, return_index=True)
+        counts = np.bincount(cell // len(words), minlength=len(keys))
+        return Table(keys, np.concatenate([[0], np.cumsum(counts)]), cell % len(words), value[first], len(words))
+
+    def kernel(self, words: list[bytes]) -> np.ndarray:
+        """Kernel values of words against the landmarks."""
+        word, h, value = _features(words)
+        place = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
+        match = np.flatnonzero(self.keys[place] == h)
+        # a subsequence that a word holds several times counts once, by its shortest stretch, which comes first
+        cell, first = np.unique(word[match] * len(self.keys) + place[match], return_index=True)
+        word, place, value = cell // len(self.keys), cell % len(self.keys), value[match[first]]
+        counts = self.edges[place + 1] - self.edges[place]
+        held = W.ragged(self.edges[place], counts)
+        at = np.repeat(word * self.n, counts) + self.marks[held]
+        return np.bincount(at, np.repeat(value, counts) * self.values[held], len(words) * self.n).reshape(len(words), self.n)
+
+    def folded(self, weights: np.ndarray) -> np.ndarray:
+        """The weight of each key, from those of the landmarks."""
+        key = np.repeat(np.arange(len(self.keys)), np.diff(self.edges))
+        return np.bincount(key, self.values * weights[self.marks], len(self.keys))
+
+
+def _kernel(words: list[bytes], table: Table, whiten: np.ndarray) -> np.ndarray:
+    """Whitened kernel values of words against the landmarks."""
+    out = np.zeros((len(words), whiten.shape[1]), np.float32)
     for at in range(0, len(words), BLOCK):
-        word, h, value = _features(words[at: at + BLOCK])
-        place = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-        match = keys[place] == h
-        dense = np.zeros((min(BLOCK, len(words) - at), len(keys)), np.float32)
-        np.maximum.at(dense, (word[match], place[match]), value[match])
-        out[at: at + BLOCK] = (dense @ table) @ whiten
+        out[at: at + BLOCK] = table.kernel(words[at: at + BLOCK]) @ whiten
     return out
 
 
@@ -151,17 +183,20 @@ def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     landmark stands at BIAS, on the clean side."""
     beta = np.zeros(x.shape[1])
 
+    def slacks(b):
+        return 1 - y * (np.concatenate([x[at: at + SLICE] @ b for at in range(0, len(x), SLICE)]) + BIAS)
+
     def loss(b):
-        return 0.5 * b @ b + (weight * np.maximum(0, 1 - y * (x @ b + BIAS)) ** 2).sum()
+        return 0.5 * b @ b + (weight * np.maximum(0, slacks(b)) ** 2).sum()
 
     for _ in range(40):
-        slack = 1 - y * (x @ beta + BIAS)
-        on = slack > 0
-        gradient = beta - 2 * (np.where(on, weight * y * slack, 0.0) @ x)
-        curvature = np.eye(len(beta))
+        slack = slacks(beta)
+        gradient, curvature = beta.copy(), np.eye(len(beta))
         for at in range(0, len(x), SLICE):  # in slices, for the driver's memory
-            part = x[at: at + SLICE][on[at: at + SLICE]]
-            curvature += 2 * (part * weight[at: at + SLICE][on[at: at + SLICE], None]).T @ part
+            on = at + np.flatnonzero(slack[at: at + SLICE] > 0)
+            part = x[on].astype(np.float64)
+            gradient -= 2 * ((weight * y * slack)[on] @ part)
+            curvature += 2 * (part * weight[on, None]).T @ part
         step = np.linalg.solve(curvature, gradient)
         size, now = 1.0, loss(beta)
         while loss(beta - size * step) > now and size > 1e-6:
@@ -181,21 +216,16 @@ def _fit_words(positive: list[bytes], negative: list[bytes]) -> Model:
     spaced = [w[: len(w) // 2] + b"*" + w[len(w) // 2:] for w in positive if w.isascii() and 3 < len(w) < 30]
     good = list(dict.fromkeys([*positive, *gaps, *spaced]))
     marks = list(dict.fromkeys([*positive[: LANDMARKS // 2], *negative[: LANDMARKS // 2]]))
-    word, h, value = _features(marks)
-    keys = np.unique(h)
-    table = np.zeros((len(keys), len(marks)), np.float32)
-    np.maximum.at(table, (np.searchsorted(keys, h), word), value)
-    among = (table.T @ table).astype(np.float64)
+    table = Table.of(marks)
+    among = table.kernel(marks)
     scale = np.sqrt(np.trace(among) / len(marks))
     values, vectors = np.linalg.eigh(among / scale**2)
     kept = values > 1e-6 * values.max()
     whiten = vectors[:, kept] / np.sqrt(values[kept]) / scale**2
-    x = _kernel([*good, *negative], keys, table, whiten)
+    x = _kernel([*good, *negative], table, whiten)
     y = np.concatenate([np.ones(len(good)), -np.ones(len(negative))])
     beta = _svm(x, y, np.where(y > 0, COST * max(1.0, 0.1 * len(negative) / len(good)), COST))
-    folded = whiten @ beta
-    # in slices: against doubles the whole table would be copied as doubles, twice its size
-    return Model(keys, np.concatenate([table[at: at + SLICE] @ folded for at in range(0, len(table), SLICE)]), BIAS)
+    return Model(table.keys, table.folded(whiten @ beta), BIAS)
 
 
 def _word_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,8 +247,14 @@ def _word_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*front, held], names=[*batch.schema.names[:-1], "words"])
 
 
-def _worths(model: Model, names: list[bytes]) -> np.ndarray:
-    return np.concatenate([model.values(*_joined(names[at: at + SLICE])) for at in range(0, len(names), SLICE)])
+def _bounds(names: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of a binary column, and where each value begins and ends in them."""
+    edges = np.frombuffer(names.buffers()[1], np.int32)[names.offset: names.offset + len(names) + 1].astype(np.int64)
+    return np.frombuffer(names.buffers()[2], np.uint8)[edges[0]: edges[-1]], edges[:-1] - edges[0], edges[1:] - edges[0]
+
+
+def _worths(model: Model, names: pa.Array) -> np.ndarray:
+    return np.concatenate([model.values(*_bounds(names.slice(at, SLICE))) for at in range(0, len(names), SLICE)])
 
 
 def fit(texts: list[str | None], toxic: list[int]) -> Model | None:
@@ -227,31 +263,53 @@ def fit(texts: list[str | None], toxic: list[int]) -> Model | None:
     return fit_sets([b.column(0) for b in _word_sets(iter([column]))], toxic)
 
 
-def fit_sets(columns: list[pa.Array], toxic: list[int]) -> Model | None:
-    """`fit` on the distinct words of each text, as lists of binaries: the driver needs no texts."""
-    toxic_ids = [i for i, y in enumerate(toxic) if y]
-    if not toxic_ids or len(toxic_ids) == len(toxic):
-        return None
-    places: dict[bytes, int] = {}
-    held: list[np.ndarray] = []
-    for column in columns:
-        coded = column.flatten().dictionary_encode()
-        known = np.array([places.setdefault(n, len(places)) for n in coded.dictionary.to_pylist()], np.int64)
-        ids = known[coded.indices.to_numpy()]
-        edges = np.concatenate([[0], np.cumsum(np.diff(column.offsets.to_numpy()))])
-        held += [np.unique(ids[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
-    # numbered by their hashes: ties between words then don't depend on the order of the rows
-    names = list(places)
-    order = np.argsort(W.span_hashes(*_joined(names)), kind="stable") if names else np.zeros(0, np.int64)
-    number = np.empty(len(order), np.int64)
-    number[order] = np.arange(len(order))
-    names, held = [names[i] for i in order], [np.sort(number[d]) for d in held]
+def _numbered(columns: list[pa.Array]) -> tuple[pa.Array, list[np.ndarray]]:
+    """The distinct words of all texts, and the numbers of each text's words, ascending. Takes the columns out of the list: the driver
+    then holds every word once, and four bytes for each word of a text.
+
+    Words are numbered by their hashes: ties between them then don't depend on the order of the rows."""
+    sizes = np.concatenate([np.zeros(0, np.int32), *(np.diff(c.offsets.to_numpy()) for c in columns)])
+    coded = []
+    while columns:
+        coded.insert(0, columns.pop().flatten().dictionary_encode())
+    flat = pa.chunked_array(coded, pa.dictionary(pa.int32(), pa.binary())).unify_dictionaries()
+    names = flat.chunk(0).dictionary if flat.num_chunks else pa.array([], pa.binary())
+    ids = np.concatenate([np.zeros(0, np.int32), *(c.indices.to_numpy() for c in flat.chunks)])
+    hashes = [W.span_hashes(*_bounds(names.slice(at, SLICE))) for at in range(0, len(names), SLICE)]
+    order = np.argsort(np.concatenate([np.zeros(0, np.uint64), *hashes]), kind="stable")
+    number = np.empty(len(order), np.int32)
+    number[order] = np.arange(len(order), dtype=np.int32)
+    held, at, end = [], 0, 0
+    for size in sizes.tolist():  # in place: no text has more distinct numbers than words
+        mine = np.unique(number[ids[at: at + size]])
+        at, begin, end = at + size, end, end + len(mine)
+        ids[begin: end] = mine
+        held.append(ids[begin: end])
+    names = names.take(pa.array(order))
+    del flat, coded
+    pa.default_memory_pool().release_unused()
+    return names, held
+
+
+def _tallies(held: list[np.ndarray], toxic: list[int], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of how many different toxic and clean texts each word is one."""
     seen: set[bytes] = set()
-    bad, good = np.zeros(len(names)), np.zeros(len(names))
+    bad, good = np.zeros(n), np.zeros(n)
     for d, y in zip(held, toxic, strict=True):
         if (key := d.tobytes()) not in seen:
             seen.add(key)
             (bad if y else good)[d] += 1
+    return bad, good
+
+
+def fit_sets(columns: list[pa.Array], toxic: list[int]) -> Model | None:
+    """`fit` on the distinct words of each text, as lists of binaries: the driver needs no texts. Empties `columns`."""
+    toxic_ids = [i for i, y in enumerate(toxic) if y]
+    if not toxic_ids or len(toxic_ids) == len(toxic):
+        return None
+    names, held = _numbered(columns)
+    bad, good = _tallies(held, toxic, len(names))
+    word = lambda i: names[int(i)].as_py()
     common = np.argsort(-good, kind="stable")[: NEGATIVES // 2]
     other = np.flatnonzero(good > 0)
     spread = other[np.argsort(W.mix(other.astype(np.uint64)), kind="stable")][: NEGATIVES // 2]
@@ -270,8 +328,8 @@ def fit_sets(columns: list[pa.Array], toxic: list[int]) -> Model | None:
         if not wins:
             return None
         witnesses = sorted(wins, key=lambda w: (-wins[w], w))
-        against = [names[w] for w in [*hard, *clean] if w not in wins and odds[w] < 2.5]
-        model = _fit_words([names[w] for w in witnesses], against)
+        against = [word(w) for w in [*hard, *clean] if w not in wins and odds[w] < 2.5]
+        model = _fit_words([word(w) for w in witnesses], against)
         worth = _worths(model, names)
         hard = [*dict.fromkeys([*other[np.argsort(-worth[other] + 5 * (odds[other] > 2.5), kind="stable")][: NEGATIVES // 6].tolist(), *hard])]
         worth = worth + 0.3 * np.clip(odds, -2, 4)
@@ -279,7 +337,7 @@ def fit_sets(columns: list[pa.Array], toxic: list[int]) -> Model | None:
     top = np.array([raw[d].max() if len(d) else -1.0 for d in held])
     # the curve also sees each toxic text as it would be with dots in its worst word
     worst = [int(held[d][np.argmax(raw[held[d]])]) for d in toxic_ids if len(held[d])]
-    dotted = [g for g in (_dotted(names[w]) for w in worst) if g]
+    dotted = [g for g in (_dotted(word(w)) for w in worst) if g]
     more = model.values(*_joined(dotted)) if dotted else np.zeros(0)
     model.slope, model.shift = _curve(np.concatenate([top, more]), np.concatenate([np.array(toxic, bool), np.ones(len(more), bool)]))
     model.name = uuid.uuid4().hex
@@ -315,6 +373,7 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str =
         found = cut.orderBy("id", "h").limit(sample).select("words").toArrow().column(0).combine_chunks()
         columns += found.chunks if isinstance(found, pa.ChunkedArray) else [found]
         toxic += [int(y)] * len(found)
+        del found
     return fit_sets(columns, toxic)
 
 

@@ -33,7 +33,7 @@ _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 def _tables(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     have = _powers.get(base)
     if have is None or len(have[0]) < n:
-        size = max(n, CHUNK + (CHUNK >> 2))
+        size = max(n, min(CHUNK + (CHUNK >> 2), 1 << n.bit_length()))  # small inputs, as on the driver, get small tables
         up, down = np.full(size, base, np.uint64), np.full(size, pow(base, -1, 1 << 64), np.uint64)
         up[0] = down[0] = 1
         have = np.cumprod(up), np.cumprod(down)
