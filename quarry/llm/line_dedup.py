@@ -25,6 +25,7 @@ from quarry.llm import words as W
 from quarry.session import staged
 
 SHINGLE, BANDS, ROWS, PERCENT, TABLES = 5, 18, 8, 80, 4
+SLICE = 1 << 17
 _U = np.uint64
 _NEWLINE = np.zeros(256, bool)
 _NEWLINE[10] = True
@@ -73,20 +74,28 @@ def signatures(line: np.ndarray, values: np.ndarray, n: int, bins: int) -> np.nd
     drawn by a fixed rule."""
     each = bins // TABLES
     out = np.empty((n, TABLES, each), np.uint32)
+    base, v, where = line * each, np.empty_like(values), np.empty_like(values)
     for t in range(TABLES):
-        v = values * _MANY[50 + t]
-        where = line * each + (((v >> _U(40)) * _U(each)) >> _U(24)).astype(np.int64)
+        np.multiply(values, _MANY[50 + t], out=v)
+        np.right_shift(v, _U(40), out=where)
+        where *= _U(each)
+        where >>= _U(24)
+        place = where.view(np.int64)
+        place += base
+        v >>= _U(8)
+        least = v.astype(np.uint32)
+        np.minimum(least, _EMPTY - np.uint32(1), out=least)
         table = np.full(n * each, _EMPTY, np.uint32)
-        np.minimum.at(table, where, np.minimum((v >> _U(8)).astype(np.uint32), _EMPTY - np.uint32(1)))
-        bare = np.flatnonzero(table == _EMPTY)
+        np.minimum.at(table, place, least)
         full = table != _EMPTY
-        column, base, turn = bare % each, bare - bare % each, 0
+        bare = np.flatnonzero(~full)
+        column, row, turn = bare % each, bare - bare % each, 0
         while len(bare):
             turn += 1
             drawn = _DRAWS[(column * 64 + turn) % len(_DRAWS)] % each if turn <= 64 else (column + turn - 64) % each
-            done = full[base + drawn]
-            table[bare[done]] = table[(base + drawn)[done]]
-            bare, column, base = bare[~done], column[~done], base[~done]
+            done = full[row + drawn]
+            table[bare[done]] = table[(row + drawn)[done]]
+            bare, column, row = bare[~done], column[~done], row[~done]
         out[:, t] = table.reshape(n, each)
     return out.reshape(n, bins)
 
@@ -133,22 +142,30 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                              names=["id", "line", "node"])
 
 
+def _slices(length: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of lines of about SLICE characters: their arrays stay in the processor's cache."""
+    ends, at = np.cumsum(length), 0
+    while at < len(length):
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] - length[at] + SLICE, "right")))
+        yield at, to
+        at = to
+
+
 def _keys(batches: Iterator[pa.RecordBatch], shingle: int, bands: int, rows: int) -> Iterator[pa.RecordBatch]:
-    """(key, node, hub) of all lines; hub: the smallest node that has the key in this chunk of texts."""
+    """(key, node, hub) of all lines, packed for `linking.with_hubs`; hub: the smallest node that has the key in this chunk of texts."""
     for batch in batches:
         for chunk in W.chunks(batch.column(0)):
             lines = Lines(chunk)
             _, pick = np.unique(lines.digest[lines.visible], return_index=True)
-            pick = np.flatnonzero(lines.visible)[pick]
-            pick = pick[np.argsort(lines.digest[pick].view(np.int64))]
+            pick = np.sort(np.flatnonzero(lines.visible)[pick])
             points, before = characters(chunk.buf)
-            line, values = _windows(points, before[lines.start[pick]], before[lines.end[pick]], shingle)
-            keys = band_keys(signatures(line, values, len(pick), bands * rows), bands, rows).reshape(-1).view(np.int64)
-            nodes = np.repeat(lines.digest[pick].view(np.int64), bands)
-            order = np.argsort(keys, kind="stable")
-            keys, nodes = keys[order], nodes[order]
-            new = np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)]
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(nodes), pa.array(nodes[new][np.cumsum(new) - 1])], names=["key", "node", "hub"])
+            first, last = before[lines.start[pick]], before[lines.end[pick]]
+            keys = np.empty((len(pick), bands), np.uint64)
+            for at, to in _slices(last - first):
+                low, high = first[at], last[to - 1]
+                line, values = _windows(points[low: high], first[at: to] - low, last[at: to] - low, shingle)
+                keys[at: to] = band_keys(signatures(line, values, to - at, bands * rows), bands, rows)
+            yield linking.packed(keys.reshape(-1).view(np.int64), np.repeat(lines.digest[pick].view(np.int64), bands))
 
 
 def _texts(batches: Iterator[pa.RecordBatch], wanted: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -177,7 +194,7 @@ def fuzzy_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     only = texts.select("text").where("text is not null")
     seen = staged(spark, texts.mapInArrow(_occurrences, f"id {docs.schema[id_col].dataType.simpleString()}, line long, node long"))
-    postings = only.mapInArrow(lambda it: _keys(it, shingle, bands, rows), "key long, node long, hub long")
+    postings = only.mapInArrow(lambda it: _keys(it, shingle, bands, rows), linking.PACKED)
     found = linking.groups(spark, linking.with_hubs(postings), percent, lambda wanted: only.mapInArrow(lambda it: _texts(it, wanted), "node long, item binary").dropDuplicates(["node"]),
                            lambda items: line_sets(items, shingle))
     named = staged(spark, seen.join(found, "node", "left").select("id", "line", F.coalesce("component", "node").alias("group")))

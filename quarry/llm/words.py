@@ -132,8 +132,9 @@ def shingles(hashes: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndar
 
 def distinct(docs: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (text, value), sorted by text and value."""
-    order = np.argsort(values, kind="stable")
-    order = order[np.argsort(docs[order], kind="stable")]
+    order = np.argsort(values)
+    few = len(docs) == 0 or docs.max() < 1 << 16  # numpy sorts 16 bits by radix
+    order = order[np.argsort(docs[order].astype(np.uint16) if few else docs[order], kind="stable")]
     docs, values = docs[order], values[order]
     new = np.ones(len(docs), bool)
     new[1:] = (docs[1:] != docs[:-1]) | (values[1:] != values[:-1])
