@@ -253,6 +253,13 @@ def _bounds(names: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(names.buffers()[2], np.uint8)[edges[0]: edges[-1]], edges[:-1] - edges[0], edges[1:] - edges[0]
 
 
+def _cut(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of some words alone, and where each begins and ends in them."""
+    size = ends - starts
+    to = np.cumsum(size)
+    return buf[W.ragged(starts, size)], to - size, to
+
+
 def _worths(model: Model, names: pa.Array) -> np.ndarray:
     return np.concatenate([model.values(*_bounds(names.slice(at, SLICE))) for at in range(0, len(names), SLICE)])
 
@@ -408,7 +415,7 @@ class Scorer:
             if len(new):
                 _, first, back = np.unique(h[new], return_index=True, return_inverse=True)
                 own = new[first]
-                fresh = self.model.values(chunk.buf, starts[own], ends[own])
+                fresh = np.concatenate([self.model.values(*_cut(chunk.buf, starts[own[at: at + SLICE]], ends[own[at: at + SLICE]])) for at in range(0, len(own), SLICE)])
                 values[new] = fresh[back]
                 self.keys[slot[own]], self.held[slot[own]] = h[own], fresh
             np.maximum.at(out, doc, values)
@@ -450,14 +457,12 @@ def flagged(spark: SparkSession, docs: DataFrame, model: Model, text_col: str =
     """All rows and columns of docs, and `mark`, which must not be one of them: scored where they are, without a join."""
     sent = spark.sparkContext.broadcast(model)
 
-    @F.pandas_udf("int")
-    def predicted(column):
-        import pandas as pd
-
+    @F.arrow_udf("int")
+    def predicted(column: pa.Array) -> pa.Array:
         scorer, found = _scorer(sent.value), []
-        for chunk in W.chunks(pa.array(column, pa.large_string())):
+        for chunk in W.chunks(column):
             top = scorer.tops(chunk)
             found.append(scorer.model.probability(np.where(np.isfinite(top), top, -1.0)) >= least)
-        return pd.Series(np.concatenate([np.zeros(0, bool), *found]).astype(np.int32))
+        return pa.array(np.concatenate([np.zeros(0, bool), *found]).astype(np.int32))
 
     return docs.withColumn(mark, predicted(F.col(text_col)))
