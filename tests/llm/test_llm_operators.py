@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -12,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from quarry.llm import bpe, brown, decontaminate, line_dedup, linking, ngram_join, token_files, topk, toxicity, warc
@@ -279,3 +281,84 @@ def test_string_kernel_on_held_out_texts(spark):
     assert {k for k, _, y in labels if y} | {500, 501} <= hits and not hits & ({k for k, _, y in labels if not y} | {1004, 1005, 1006, 1007})
     assert all(0 <= r.score <= 1 for r in found)
     assert {r.score for r in toxicity.score(spark, docs, toxicity.train(spark, docs, told.limit(0))).collect()} == {0.0}
+
+
+def test_fit_holds_each_word_once():
+    rng = random.Random(9)
+    names = [f"w{k:06d}x".encode() for k in range(30000)]
+    columns = [pa.array([rng.sample(names, 150) for _ in range(800)], pa.list_(pa.binary())) for _ in range(2)]
+    want = [[sorted(d) for d in c.to_pylist()] for c in columns]
+    tracemalloc.start()
+    words, held = toxicity._numbered(columns)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert columns == [] and [sorted(words[int(i)].as_py() for i in d) for d in held[::100]] == sum(want, [])[::100]
+    assert all((np.diff(d) > 0).all() for d in held) and held[0].itemsize == 4
+    assert peak < 6_000_000
+
+
+def test_kernel_of_landmarks_is_the_product_of_their_subsequences():
+    marks, words = [b"idiot", b"i.d.i.o.t", b"aaaa", b"hello"], [b"idiots", b"aaa", b"zzz", b"hell", b"x"]
+
+    def weights(word):
+        _, h, value = toxicity._features([word])
+        out = {}
+        for k, v in zip(h.tolist(), value.tolist(), strict=True):
+            out[k] = max(v, out.get(k, 0))
+        return out
+
+    of, by = [weights(w) for w in words], [weights(m) for m in marks]
+    want = [[sum(v * b.get(k, 0) for k, v in a.items()) for b in by] for a in of]
+    assert np.allclose(toxicity.Table.of(marks).kernel(words), want)
+
+
+def test_scores_of_words_do_not_depend_on_the_texts_around_them():
+    rng = np.random.default_rng(3)
+    words = sorted({"".join(rng.choice(list("abcdeé"), 6)) for _ in range(5000)})
+    _, keys, _ = toxicity._features([w.encode() for w in words[:40]])
+    keys = np.unique(keys)
+    model = toxicity.Model(keys, rng.normal(size=len(keys)), toxicity.BIAS, name="t")
+    seen = []
+    values = model.values
+    model.values = lambda buf, starts, ends: seen.append(len(buf)) or values(buf, starts, ends)
+    tops = toxicity.Scorer(model).tops(next(W.chunks(pa.array([" ".join(words), *words[:3]]))))
+    alone = [values(*toxicity._joined([w.encode()]))[0] for w in words]
+    assert tops[0] == max(alone) and tops[1:].tolist() == alone[:3]
+    assert max(seen) < 10 * toxicity.SLICE < sum(len(w.encode()) for w in words)  # no call gets the whole texts
+
+
+def test_sketches_keep_alike_pairs_and_drop_others(spark):
+    rng = random.Random(2)
+    base = [f"{rng.getrandbits(24):06x}" for _ in range(60)]
+
+    def line(swaps):
+        out = list(base)
+        for k in rng.sample(range(60), swaps):
+            out[k] = f"{rng.getrandbits(24):06x}"
+        return " ".join(out)
+
+    lines = [line(s) for s in [0, 1, 2, 3, *[9] * 60]] + ["ab", "ab"]
+    items = spark.createDataFrame(list(enumerate(x.encode() for x in lines)), "node long, item binary")
+    told = linking.sketches(items, lambda c: line_dedup.line_sets(c, 5))
+    one, two = (told.select(*(F.col(c).alias(f"{c}_{s}") for c in told.columns)) for s in ("a", "b"))
+    left = {(r.node_a, r.node_b) for r in one.join(two, F.expr("node_a < node_b") & linking.sketches_allow(80)).select("node_a", "node_b").collect()}
+    sets = [{x[k: k + 5] for k in range(max(1, len(x) - 4))} for x in lines]
+    alike = {(a, b) for a in range(len(lines)) for b in range(a + 1, len(lines)) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    assert alike <= left and len(left - alike) < 100  # of 1770 pairs of lines with nine words changed, that share bands
+
+
+def test_packed_postings_lead_to_the_smallest_node(spark):
+    rng = np.random.default_rng(8)
+    chunks = [(rng.integers(0, 400, 700), rng.permutation(3000)[:700]) for _ in range(5)]
+    rows = [r for k, n in chunks for r in linking.packed(k.astype(np.int64), n.astype(np.int64)).to_pylist()]
+    met = linking.with_hubs(spark.createDataFrame([(r["slot"], r["own"], r["local"]) for r in rows], linking.PACKED)).collect()
+    want = {}
+    for keys, nodes in chunks:
+        for k, n in zip(keys.tolist(), nodes.tolist(), strict=True):
+            want.setdefault(k, set()).add(n)
+    got = {}
+    for r in met:
+        assert r.hub < r.node
+        got.setdefault(r.key, set()).update((r.node, r.hub))
+    assert got == {k: v for k, v in want.items() if len(v) > 1}
+    assert len(linking.packed(np.zeros(0, np.int64), np.zeros(0, np.int64))) == 0
