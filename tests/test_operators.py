@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
+from itertools import combinations
 
 from pyspark.sql import functions as F
 
+from quarry.catalogue import relations
 from quarry.functions import paths as P
 from quarry.functions import text as T
+from quarry.operators import cochange
 from quarry.operators.cochange import co_change
 from quarry.operators.graph import callers_within
 from quarry.operators.ranking import collapse, knn, module_rollup
@@ -60,6 +64,20 @@ def test_sweeping_groups_emit_nothing(spark):
     assert [tuple(r) for r in co_change(df, [], "g", "item").collect()] == [("a", "b", 4, 4.0, "2026-01-01")]
 
 
+def test_uncapped_groups_count_in_whole_and_no_row_grows_with_them(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(cochange, "BLOCK_ITEMS", 4)
+    groups = {"sweep": range(40), "pair": (3, 39), "six": range(6), "one": (1,), None: (1, 2)}
+    rows = [(g, n, 0.5, d) for g, items in groups.items() for n in items for d in ("2026-01-01", "2026-01-02" if g == "six" else "2026-01-01")]
+    df = spark.createDataFrame(rows + [("pair", None, 0.5, "2026-01-01")], "g string, item long, weight double, stamp string")
+    want = Counter(pair for g, items in groups.items() if g for pair in combinations(items, 2))
+    got = {(r["src"], r["dst"]): r["count"] for r in co_change(df, [], "g", "item", None, 1).collect()}
+    assert got == want and len(got) == 40 * 39 // 2
+    lines = [(o, p, p) for o in (1, 2) for p in range(7)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.sql("SELECT o_orderkey, TIMESTAMP_NTZ '2001-12-01 00:00:00' AS o_orderdate FROM VALUES (1L), (2L) AS t(o_orderkey)").write.parquet(f"{tmp_path}/orders.parquet")
+    assert {(r["src"], r["dst"]) for r in relations.co_change_parts(spark, str(tmp_path)).collect()} == set(combinations(range(7), 2))
+
+
 def test_closure_takes_fewest_hops_and_cycles(spark):
     edges = spark.createDataFrame([("b", "a"), ("c", "b"), ("c", "a"), ("a", "c"), ("d", "c"), ("z", "y")], "src string, dst string")
     start = spark.createDataFrame([("a",)], "node string")
