@@ -105,6 +105,32 @@ def test_windows_of_the_extraction_copy_few_columns(spark):
     assert 0 < widest <= 32
 
 
+def test_extraction_tasks_get_a_bounded_text_and_two_stages(spark, tmp_path, monkeypatch):
+    source = "class C{0}:\n    def f_{0}(self, x: D) -> D:\n        return g_{0}(h(x))\n"
+    rows = [("r", f"m{i}.py", "python", source.format(i)) for i in range(30)] + [("r", "n.txt", "text", "x" * 100_000), ("r", "e.py", "python", None)]
+    files = spark.createDataFrame(rows, "repo string, path string, lang string, text string")
+    size = sum(len(text) for _, _, lang, text in rows if lang == "python" and text)
+    monkeypatch.setattr(E, "TASK_BYTES", 100)
+    tasks = -(-size // 100)
+    assert tasks > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = lambda df: re.findall(r"hashpartitioning\((f[12])#\d+L?, f[12]#\d+L?, (\d+)\), REPARTITION_BY_NUM", _plan(df))
+    assert dealt(E.entities(files)) == [("f1", str(tasks)), ("f2", str(tasks))]
+    stored = []
+
+    def stage(df):
+        df.write.parquet(f"{tmp_path}/found{len(stored)}")
+        stored.append(1)
+        return spark.read.parquet(f"{tmp_path}/found{len(stored) - 1}")
+
+    for out in (extract(files), extract(files, stage)):
+        assert {n for _, n in dealt(out["symbols"]) + dealt(out["refs"])} == {str(tasks)}
+        assert {r["local_qname"] for r in out["symbols"].collect()} == {q for i in range(30) for q in (f"C{i}", f"C{i}.f_{i}")}
+        assert {(r["from_local_qname"], r["target_name"]) for r in out["refs"].where("via = 'call'").collect()} == {
+            (f"C{i}.f_{i}", t) for i in range(30) for t in (f"g_{i}", "h")}
+    monkeypatch.undo()
+    assert E.tasks_for(files) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_fitting_words_makes_no_copy_of_the_landmark_table():
     toxicity = pytest.importorskip("quarry.llm.toxicity")
     letters = np.random.default_rng(3).integers(97, 123, (200, 24), dtype=np.uint8)
